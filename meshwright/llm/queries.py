@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, license_scan, packing, pii
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
+    "op6_packing": packing.op6_packing,
     "op9_decontamination": decontam.op9_decontamination,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
