@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, license_scan, packing, pii, url_filter
+from . import decontam, langid, license_scan, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
 }

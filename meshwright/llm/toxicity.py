@@ -197,7 +197,7 @@ class Scorer(dict):
         """Of single characters in a row: the strongest term anywhere in what they spell."""
         text = restore(letters, self.model)
         best = max((self.word(text[i:]) for i in range(len(text))), default=0.0)
-        return max((self.terms.get(text[i:j], 0.0) for i in range(len(text)) for j in range(i + 3, min(len(text), i + 16) + 1)), default=best)
+        return max([best, *(self.terms.get(text[i:j], 0.0) for i in range(len(text)) for j in range(i + 3, min(len(text), i + 16) + 1))])
 
     def score(self, text: str, rate: float) -> float:
         tokens = text.lower().split()
