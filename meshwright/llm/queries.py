@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, license_scan, packing, pii, toxicity, url_filter
+from . import ann, decontam, langid, license_scan, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op3_pii": pii.op3_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
 }
