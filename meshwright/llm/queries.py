@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, license_scan, ngram_join, packing, pii, toxicity, url_filter
+from . import ann, decontam, langid, license_scan, line_dedup, ngram_join, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_pii": pii.op3_pii,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
