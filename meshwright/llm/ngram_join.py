@@ -12,9 +12,9 @@ right links; frequent n-grams at its end keep shared passages out of the prefixe
    that repeat among their own nodes; the FREQUENT most frequent of these sums are the
    list of the order's end.
 2. The order's first fragment, each node's prefix, is joined: linked nodes share an
-   n-gram there. A bucket (the nodes that share one) first pairs its least node with
-   the others. The pair's overlap within the prefixes bounds its whole overlap, which
-   rules out most pairs.
+   n-gram there. A bucket (the nodes that share one) first pairs the node that shares
+   most of its prefix with the others. Sizes, places and the overlap within the prefixes
+   bound a pair's whole overlap, which rules out most pairs.
 3. For the pairs left, the order is cut into FRAGMENTS; partial overlaps are counted in
    each fragment separately and summed per pair, and the sum decides the link.
 4. Components of these links are found; buckets that still hold several components
@@ -160,7 +160,7 @@ def ranks(grams: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarray
 
 
 def prefixes(docs: DataFrame, end: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """gram, node, n: each node's first n-grams in the global order, once per task."""
+    """gram, node, n, at: each node's first n-grams in the global order, once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(end)
 
     def run(batches):
@@ -178,19 +178,26 @@ def prefixes(docs: DataFrame, end: tuple[np.ndarray, np.ndarray], size: int, per
                 sizes.append(n)
             if grams:
                 m = [len(g) for g in grams]
-                yield pa.record_batch([_signed(np.concatenate(grams)), pa.array(np.repeat(nodes, m)), pa.array(np.repeat(sizes, m).astype(np.int32))], names=["gram", "node", "n"])
+                yield pa.record_batch([_signed(np.concatenate(grams)), pa.array(np.repeat(nodes, m)), pa.array(np.repeat(sizes, m).astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in m]))], names=["gram", "node", "n", "at"])
 
-    return _rows(docs).where("doc_id is not null").mapInArrow(run, "gram long, node long, n int")
+    return _rows(docs).where("doc_id is not null").mapInArrow(run, "gram long, node long, n int, at int")
 
 
-def _fits(x: str, y: str, percent: int) -> Column:
-    """The sizes allow a link."""
-    return (F.least(x, y) * 100) >= F.greatest(x, y) * percent
+def _needed(percent: int) -> Column:
+    """The least overlap of a link: ceil(percent * (na + nb) / (100 + percent))."""
+    return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
 
 
-def _needed(x: str, y: str, percent: int) -> Column:
-    """The least overlap of a link: ceil(percent * (x + y) / (100 + percent))."""
-    return F.floor(((F.col(x) + F.col(y)) * percent + 99 + percent) / (100 + percent))
+def _may_start(percent: int) -> Column:
+    """Sizes and places allow a link whose first shared n-gram this is.
+
+    `h` is how many n-grams of a node's prefix other nodes share, `i` how many of these
+    stand before. Behind a first shared n-gram at most the lesser number of them left,
+    and what follows the prefix, can be shared.
+    """
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    behind = F.least(F.col("ha") - F.col("ia"), F.col("hb") - F.col("ib")) + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    return sizes & (behind >= _needed(percent))
 
 
 def plausible(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +212,7 @@ def plausible(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     y = held.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(x, "a").join(y, "b")
     rest = F.greatest("na", "nb") * percent / 100
-    return both.where(F.size(F.array_intersect("ga", "gb")) + F.ceil(rest) - 1 >= _needed("na", "nb", percent)).select("a", "na", "b", "nb")
+    return both.where(F.size(F.array_intersect("ga", "gb")) + F.ceil(rest) - 1 >= _needed(percent)).select("a", "na", "b", "nb")
 
 
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -241,22 +248,23 @@ def _linked(counted: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int) -> DataFrame:
     """a, na, b, nb, overlap: enough links to connect every component."""
-    by_gram = Window.partitionBy("gram")
-    shared = prefixes(docs, end, size, percent)
-    buckets = cut(shared.withColumns({"low": F.min("node").over(by_gram), "high": F.max("node").over(by_gram)}).where("low <> high").select("gram", "node", "n").distinct())
-    least = buckets.groupBy("gram").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("na"))).alias("p")).select("gram", "p.a", "p.na")
-    member = buckets.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = member.join(least, "gram").where("a <> b").where(_fits("na", "nb", percent)).select("a", "na", "b", "nb").distinct()
+    by_gram, by_node = Window.partitionBy("gram"), Window.partitionBy("node")
+    found = prefixes(docs, end, size, percent).withColumns({"low": F.min("node").over(by_gram), "high": F.max("node").over(by_gram)})
+    buckets = found.where("low <> high").select("gram", "node", "n", "at").distinct()
+    buckets = cut(buckets.withColumns({"h": F.count(F.lit(1)).over(by_node), "i": F.row_number().over(by_node.orderBy("at")) - 1}).drop("at"))
+    side = lambda x: buckets.select("gram", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "h", "i")))
+    # the node that shares most of its prefix is likeliest the centre of its near copies
+    lead = buckets.groupBy("gram").agg(F.max(F.struct("h", "node", "n", "i")).alias("p"))
+    lead = lead.select("gram", F.col("p.node").alias("a"), *(F.col(f"p.{c}").alias(c + "a") for c in ("n", "h", "i")))
+    pairs = side("b").join(lead, "gram").where("a <> b").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
     pairs = cut(plausible(pairs, buckets, percent))
     first = cut(_linked(overlaps(docs, nodes, pairs, size), percent))
     roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.withColumns({"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram)}).where("low <> high")
-    mixed = cut(mixed.select("gram", "node", "n", "root"))
-    x = mixed.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = mixed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = x.join(y, "gram").where("ra < rb").where(_fits("na", "nb", percent))
-    across = across.select("a", "na", "b", "nb").distinct()
+    mixed = cut(mixed.select("gram", "node", "n", "h", "i", "root"))
+    one = lambda x: mixed.select("gram", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "h", "i")), F.col("root").alias("r" + x))
+    across = one("a").join(one("b"), "gram").where("ra < rb").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
     # a pair of step 2 may come in either order
     done = pairs.select("a", "b").union(pairs.select("b", "a"))
     across = cut(plausible(across.join(done, ["a", "b"], "left_anti"), buckets, percent))

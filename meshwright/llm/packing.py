@@ -20,6 +20,7 @@ rows are packed each; without rows there is no piece.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -37,28 +38,73 @@ END_ID = 2
 #: Penalties in ids of padding, and the spacing of cuts inside long sentences.
 SENTENCE, INSIDE, GRID = 2, 24, 256
 BLOCK = 1 << 20
-CACHE = 400_000
+CACHE = 1_000_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level alphabet: printable bytes stand for themselves, others for code points from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER_OF = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Chunks(dict):
-    """Ids, as bytes, of what stands between spaces; the tokenizer never joins over these."""
+    """Ids, as bytes, of what stands between spaces; the tokenizer never joins over these.
+
+    A chunk of Latin letters with marks behind is two pre-tokens, and the letters in lower
+    case are one word for the tokenizer's model. Other chunks are encoded many at a
+    time, joined by spaces, and told apart by their tokens' offsets.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
+    def learn(self, chunks: set[str]) -> None:
+        if len(self) + len(chunks) > CACHE:
             self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        split, other = [], []
+        for c in chunks:
+            core = c.rstrip(_MARKS)
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                split.append((c, core.lower(), c[len(core) :]))
+            else:
+                other.append(c)
+        other += {tail for _, _, tail in split if tail}.difference(self, other)
+        self.encode(other)
+        tokenize, pack = self.model.tokenize, struct.pack
+        for c, core, tail in split:
+            ids = self.get(core)
+            if ids is None:
+                word = core if core.isascii() else "".join([_LETTER_OF[b] for b in core.encode()])
+                found = [t.id for t in tokenize(word)]
+                self[core] = ids = pack(f"<{len(found)}I", *found)
+            self[c] = ids + self[tail] if tail else ids
+
+    def encode(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 10_000):
+            some = chunks[at : at + 10_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum([len(c) + 1 for c in some])
+            data = np.array(found.ids, "<u4").tobytes()
+            cuts = (np.searchsorted([b for b, _ in found.offsets], ends) * 4).tolist()
+            self.update(zip(some, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        rows = [t.replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes] = []
+        for i in range(0, len(rows), 200):
+            some = rows[i : i + 200]
+            every = set().union(*some)
+            if new := every.difference(self):
+                # where the cache is cleared first, all of these are new
+                self.learn(new if len(self) + len(new) <= CACHE else every)
+            out += [b"".join(map(self.__getitem__, row)) for row in some]
+        return out
+
+
+_KEPT: dict[str, Chunks] = {}  # a worker serves many tasks
 
 
 def cut(places: np.ndarray, penalties: np.ndarray, size: int) -> tuple[list[int], list[int]]:
@@ -159,8 +205,10 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE) -> DataFrame:
     def run(batches):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        chunks = Chunks(tokenizer)
+        if tokenizer_file not in _KEPT:
+            _KEPT[tokenizer_file] = Chunks(Tokenizer.from_file(tokenizer_file))
+        chunks = _KEPT[tokenizer_file]
+        tokenizer = chunks.tokenizer
         enders = np.array([tokenizer.token_to_id(t) for t in (".</w>", "!</w>", "?</w>") if tokenizer.token_to_id(t) is not None])
         packer = Packer(size, enders, TaskContext.get().partitionId() << 32)
         end = np.array([END_ID], "<u4").tobytes()
@@ -171,8 +219,9 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE) -> DataFrame:
 
         for batch in tx.slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.string()).to_pylist()):
-                rows += packer.add(doc_id, np.frombuffer(chunks.ids(text or "") + end, "<u4"))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), chunks.ids(texts)):
+                rows += packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
             if rows:
                 yield batch_of(rows)
         if rows := list(packer.flush(True)):

@@ -157,7 +157,7 @@ useful AS (SELECT * FROM assertions WHERE score > 0 AND c1 NOT IN ('{"', '".join
 ends AS (SELECT c1 AS text FROM assertions UNION SELECT c2 FROM assertions),
 touched AS (SELECT text, count(*) AS n FROM (SELECT c1 AS text FROM useful UNION ALL SELECT c2 FROM useful WHERE c1 <> c2) GROUP BY text),
 concepts AS (
-  SELECT ends.text, CAST(len(list_filter(regexp_split_to_array(ends.text, '\\s+'), w -> w <> '')) AS INTEGER) AS words,
+  SELECT ends.text, CAST(len(list_filter(regexp_split_to_array(ends.text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS words,
     ends.text NOT IN ('{"', '".join(HIDDEN)}') AS visible, coalesce(n, 0) AS num_assertions FROM ends LEFT JOIN touched ON ends.text = touched.text),
 surfaces AS (
   SELECT text AS surface, text AS concept, num_assertions AS use_count FROM concepts
