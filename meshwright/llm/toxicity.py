@@ -48,6 +48,8 @@ LEET = {
 SEPARATORS = ".-_*'~^/\\"
 #: Costs, as negative logs, of reading a sign as a letter, dropping a separator, and dropping a repeated letter.
 COST_LEET, COST_SEPARATOR, COST_REPEAT = 0.7, 0.7, 1.5
+#: A separator that may also stand for a letter is dropped less readily.
+COST_MASK = 1.6
 _A = 28  # letters, word edge, other letter
 _EDGE, _OTHER = 26, 27
 _SPLIT = re.compile(r"[^\W\d_]+")
@@ -137,7 +139,7 @@ def restore(token: str, model: np.ndarray) -> str:
                 if letter == last:
                     reach((a, b, last), cost + extra + COST_REPEAT, path)
             if c in SEPARATORS:
-                reach((a, b, last), cost + COST_SEPARATOR, path)
+                reach((a, b, last), cost + (COST_MASK if letters else COST_SEPARATOR), path)
             elif not letters:  # a sign with no reading ends the word
                 reach((_EDGE, _EDGE, ""), cost, (" ", path))
         states = after
