@@ -13,7 +13,7 @@ label, chosen by a hash of doc_id. A text's score combines its terms' precisions
 independent causes, over the rate of texts without terms.
 
 Defined cases: null and empty texts have no term and get that base rate; without
-labelled rows of both kinds every score is the base rate; rows with a null doc_id
+labelled rows of both kinds there are no terms, so nothing is rejected; rows with a null doc_id
 aren't held out; a doc_id labelled twice is toxic if one label says so; repeated rows
 each get a row.
 """
@@ -40,6 +40,8 @@ TERMS = 4000
 #: doesn't give among a million candidates.
 GAIN, PRECISION = 14.0, 0.85
 CACHE = 300_000
+#: The score of a text without any term.
+BASE = 0.02
 #: Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -240,12 +242,12 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def learn_terms(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], float]:
-    """Terms with their precision, and the rate of toxic texts among those without a term."""
+    """Terms with their precision, and the score of texts without a term."""
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     known = _labels(labels).where(tx.id_bucket("doc_id", 5) != 0)
     count = {bool(r.toxic): r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(count) < 2:
-        return {}, 0.5 if not count else (0.99 if True in count else 0.01)
+        return {}, BASE
     share = {y: min(1.0, rows / n) for y, n in count.items()}
     chosen = known.where(place < F.when(F.col("toxic") == 1, share[True]).otherwise(share[False]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -265,7 +267,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> t
     stats = sample.mapInArrow(run, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     whole = stats.where("f = ''").collect()
     if not whole or not whole[0].t or not whole[0].c:
-        return {}, 0.5
+        return {}, BASE
     n_toxic, n_clean = whole[0].t, whole[0].c
     # clean rows were sampled more thinly; weigh them as in the labelled rows
     weight = (count[False] / n_clean) / (count[True] / n_toxic)
@@ -279,7 +281,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> t
     longer = {f for f in support if f.endswith("*") and any(g.endswith("*") and g != f and g[:-1].startswith(f[:-1]) and t >= 0.98 * support[f] for g, t in support.items())}
     starts = tuple(f[:-1] for f in support if f.endswith("*") and f not in longer)
     terms = {r.f: r.p for r in rows if r.f not in longer and not any(r.f != s + "*" and r.f.startswith(s) for s in starts)}
-    return terms, 0.02
+    return terms, BASE
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
