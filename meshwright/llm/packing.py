@@ -95,12 +95,20 @@ class Chunks(dict):
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         out: list[bytes] = []
         for i in range(0, len(rows), 200):
-            some = rows[i : i + 200]
-            every = set().union(*some)
-            if new := every.difference(self):
+            some, found, late = rows[i : i + 200], {}, []
+            for k, row in enumerate(some):
+                try:
+                    found[k] = b"".join(map(self.__getitem__, row))
+                except KeyError:
+                    late.append(k)
+            if late:
+                every = set().union(*[some[k] for k in late])
+                new = every.difference(self)
                 # where the cache is cleared first, all of these are new
                 self.learn(new if len(self) + len(new) <= CACHE else every)
-            out += [b"".join(map(self.__getitem__, row)) for row in some]
+                for k in late:
+                    found[k] = b"".join(map(self.__getitem__, some[k]))
+            out += [found[k] for k in range(len(some))]
         return out
 
 
@@ -110,7 +118,7 @@ _KEPT: dict[str, Chunks] = {}  # a worker serves many tasks
 def cut(places: np.ndarray, penalties: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     """Costs and predecessors of the least-cost windows ending at each place; places[0] begins."""
     at, extra = places.tolist(), penalties.tolist()
-    cost, back = [0] * len(at), [0] * len(at)
+    back = [0] * len(at)
     queue = deque([0])
     values = [at[0]] + [0] * (len(at) - 1)  # cost + place
     for j in range(1, len(at)):
@@ -123,9 +131,7 @@ def cut(places: np.ndarray, penalties: np.ndarray, size: int) -> tuple[list[int]
         while queue and values[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
-    for j in range(len(at)):
-        cost[j] = values[j] - at[j]
-    return cost, back
+    return (np.array(values) - places).tolist(), back
 
 
 def powers(length: int) -> list[int]:
