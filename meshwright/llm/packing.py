@@ -38,7 +38,7 @@ END_ID = 2
 #: Penalties in ids of padding, and the spacing of cuts inside long sentences.
 SENTENCE, INSIDE, GRID = 2, 24, 256
 BLOCK = 1 << 20
-CACHE = 1_000_000
+CACHE = 1_600_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
