@@ -150,22 +150,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     )
 
 
+def _judge(items: list, width: int, share: int, last: bool) -> Callable:
+    """A task that adds the hits of `items` to __hit; the last one judges them and drops it."""
+
+    def task():
+        machine = automaton(items, width)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flags, keep = [], []
+            texts, held = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "__hit"))
+            for text, before in zip(tx.byte_texts(texts), held):
+                words = (text or b"").translate(tx.FOLD_WORDS).split()
+                flags.append(np.union1d(np.flatnonzero(hits(machine, words)[0]), before.as_py()).astype(np.int32))
+                keep.append(not (len(flags[-1]) and len(flags[-1]) * share >= len(words)))
+            names = [c for c in batch.schema.names if c != "__hit"]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            if last:
+                return pa.record_batch(own, names=names).filter(pa.array(keep, pa.bool_()))
+            return pa.record_batch([*own, pa.array(flags, pa.list_(pa.int32()))], names=[*names, "__hit"])
+
+        return step
+
+    return task
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, in one scan and with all their columns."""
-    out = docs
-    for items in shards(benchmark):
-
-        def run(batches, items=items):
-            machine = automaton(items, width)
-            for batch in tx.slices(batches, "text"):
-                keep = []
-                for text in tx.byte_texts(batch.column(batch.schema.get_field_index("text"))):
-                    words = (text or b"").translate(tx.FOLD_WORDS).split()
-                    n = int(hits(machine, words)[0].sum())
-                    keep.append(not (n > 0 and n * share >= len(words)))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, T.StructType(docs.schema.fields))
+    """The rows of `docs` that aren't contaminated, with all their columns.
+
+    The hits of all shards are carried along, and the share is judged once on their union.
+    """
+    parts = list(shards(benchmark))
+    held = T.StructField("__hit", T.ArrayType(T.IntegerType()))
+    out = docs.withColumn("__hit", F.array().cast("array<int>"))
+    for i, items in enumerate(parts):
+        last = i == len(parts) - 1
+        schema = T.StructType(docs.schema.fields if last else [*docs.schema.fields, held])
+        out = tx.map_slices(out, "text", _judge(items, width, share, last), schema)
     return out
 
 

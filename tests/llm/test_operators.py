@@ -242,6 +242,15 @@ def test_decontamination(spark, docs, monkeypatch):
     assert decontam.original_spans("é B, ç d", flags) == [(2, 6)]
 
 
+def test_decontamination_judges_all_shards_together(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 5)
+    bench = spark.createDataFrame([(1, "x1 y1 z1"), (2, "x2 y2 z2")], "item_id long, text string")
+    rows = [(50, "x1 y1 z1 x2 y2 z2 " + "w " * 94), (51, "x1 y1 z1 x1 y1 z1 " + "w " * 115), (52, "x1 y1 z1 " + "w " * 97)]
+    judged = {r.doc_id: (r.n_hit, r.contaminated) for r in decontam.decontaminate(frame(spark, rows), bench).collect()}
+    assert judged == {50: (6, True), 51: (6, False), 52: (3, False)}
+    assert {r.doc_id for r in decontam.clean_documents(frame(spark, rows), bench).collect()} == {51, 52}
+
+
 def test_licenses(spark):
     rows = [*EDGE, (40, "Released under the MIT License."), (41, "Licensed under CC BY-NC 4.0."), (42, "mit license mit license"), (43, "a permit license")]
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
