@@ -2,11 +2,12 @@
 
 Templates are short public notices. A positional index maps each template word to
 its (template, position) postings. For a file, the words of the index that occur in
-it are ranked by their document frequency over the whole corpus; the rarest ones
-are looked up, and every (occurrence, posting) pair votes for a template at a
-relative position. A template stands where enough of its words agree on one
-position and each of its mandatory key phrases occurs in the aligned stretch; its
-score is the share of its words that stand in place.
+it are ranked by their document frequency over the whole corpus; of each template
+the rarest ones are looked up, so many that a stretch of the accepted score always
+holds AGREE of them, whatever else the file holds. Every (occurrence, posting) pair
+votes for a template at a relative position. A template stands where enough of its
+words agree on one position and each of its mandatory key phrases occurs in the
+aligned stretch; its score is the share of its words that stand in place.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Base
 labels come from four phrases and always stay. Defined cases: null counts as empty;
@@ -50,8 +51,8 @@ TEMPLATES = [
     ("cc0", "released under CC0 1.0 Universal public domain dedication", ["cc0 1 0"]),
     ("all-rights-reserved", "All rights reserved", ["all rights reserved"]),
 ]
-#: So many of a file's rarest index words are looked up; at least so many must agree.
-RARE, AGREE, ACCEPT = 12, 2, 0.6
+#: At least so many looked-up words must agree on a position; the least score of a notice.
+AGREE, ACCEPT = 2, 0.6
 
 
 def _words(text: str) -> list[bytes]:
@@ -89,19 +90,34 @@ def _places(line: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def notices(words: list[bytes], line: bytes, rank: dict[bytes, int]) -> list[tuple[str, int, float]]:
+def looked_up(rank: dict[bytes, int]) -> list[list[tuple[bytes, int]]]:
+    """Of each template the rarest (word, position) pairs.
+
+    A stretch may miss len - least of a template's words, so AGREE of any
+    len - least + AGREE of them stand in place.
+    """
+    out = []
+    for _, notice, _ in NOTICES:
+        least = next(n for n in range(len(notice) + 1) if n / len(notice) >= ACCEPT)
+        places = sorted(range(len(notice)), key=lambda q: (rank.get(notice[q], 0), notice[q], q))
+        out.append([(notice[q], q) for q in places[: len(notice) - least + AGREE]])
+    return out
+
+
+def notices(words: list[bytes], line: bytes, rarest: list[list[tuple[bytes, int]]]) -> list[tuple[str, int, float]]:
     """(label, word position, score) of each template that stands in the text."""
-    if not any(key in line for _, _, keys in NOTICES for key in keys):
+    # a template whose key phrases aren't all in the text can't stand in it
+    possible = [t for t, (_, _, keys) in enumerate(NOTICES) if all(key in line for key in keys)]
+    if not possible:
         return []
-    here = sorted(INDEX.keys() & set(words), key=lambda w: (rank.get(w, 0), w))[:RARE]
-    at: dict[bytes, list[int]] = {w: [] for w in here}
+    at: dict[bytes, list[int]] = {w: [] for t in possible for w, _ in rarest[t]}
     for p, w in enumerate(words):
         if w in at:
             at[w].append(p)
     votes: Counter = Counter()
-    for word, positions in at.items():
-        for t, q in INDEX[word]:
-            votes.update((t, p - q) for p in positions)
+    for t in possible:
+        for word, q in rarest[t]:
+            votes.update((t, p - q) for p in at[word])
     best: dict[str, tuple[float, int]] = {}
     for (t, begin), n in votes.items():
         label, notice, keys = NOTICES[t]
@@ -119,7 +135,7 @@ def notices(words: list[bytes], line: bytes, rank: dict[bytes, int]) -> list[tup
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base places by label and the notices found, a row per document."""
     frequencies = index_frequencies(docs)
-    order = {w: i for i, w in enumerate(sorted(INDEX, key=lambda w: (frequencies.get(w, 0), w)))}
+    rarest = looked_up(frequencies)
 
     def task():
         kinds = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("score", pa.float64())]))
@@ -131,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 line = b" %b " % b" ".join(words)
                 counts.append(len(words))
                 base.append([{"label": label, "word": line.count(b" ", 0, p), "score": 1.0} for phrase, label in PHRASES for p in _places(line, phrase)])
-                found.append([{"label": a, "word": b, "score": c} for a, b, c in notices(words, line, order)])
+                found.append([{"label": a, "word": b, "score": c} for a, b, c in notices(words, line, rarest)])
             return pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(base, kinds), pa.array(found, kinds)], names=["doc_id", "n_words", "base", "notices"])
 
         return step

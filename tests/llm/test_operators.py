@@ -258,3 +258,14 @@ def test_licenses(spark):
     assert labels(40) == {"mit"} and labels(41) == {"cc-by-nc"} and labels(43) == set()
     assert [b.word for b in got[42].base] == [0, 2] and [b.label for b in got[41].base] == ["cc-by"]
     assert got[1].n_words == 0 and not got[6].notices
+
+
+def test_licenses_side_by_side(spark):
+    labels = {label for label, _, _ in license_scan.TEMPLATES}
+    texts = [" -- ".join(text for _, text, _ in t) for t in (license_scan.TEMPLATES, license_scan.TEMPLATES[::-1])]
+    isc, apache = license_scan.TEMPLATES[8][1], license_scan.TEMPLATES[0][1]
+    rows = [(50, texts[0]), (51, texts[1]), (52, f"{isc}. {apache}"), (53, "the word " * 500 + texts[0])]
+    got = {r.doc_id: {x.label: x.score for x in r.notices} for r in license_scan.scan(frame(spark, rows)).collect()}
+    for d in (50, 51, 53):
+        assert got[d] == dict.fromkeys(labels, 1.0)
+    assert got[52] == {"isc": 1.0, "apache-2.0": 1.0}
