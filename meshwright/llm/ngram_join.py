@@ -236,6 +236,8 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) ->
             yield pa.record_batch([pa.array(nodes_, pa.int64()), pa.array(parts, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "part", "grams"])
 
     fragments = texts.mapInArrow(run, "node long, part int, grams array<long>")
+    # a row that stands several times gives its fragments as often; each may count once
+    fragments = fragments.repartition("node").dropDuplicates(["node", "part"])
     x = fragments.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
     y = fragments.select(F.col("node").alias("b"), "part", F.col("grams").alias("gb"))
     partial = pairs.join(x, "a").join(y, ["b", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))

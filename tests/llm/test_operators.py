@@ -69,6 +69,22 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_repeated_rows(spark):
+    w = [f"w{i}" for i in range(104)]
+    half = [*w[:60], *(f"y{i}" for i in range(44))]  # a third of the shingles of both
+    near = [*w[:102], "z1", "z2"]
+    rows = [(1, " ".join(w))] * 3 + [(2, " ".join(half))] * 2 + [(3, " ".join(near))] * 2 + [(4, " ".join(half[:100]))]
+    # the pair is given, as the prefixes may rule it out before its overlap is counted
+    a, b = (ngram_join.node_of(s) for s in ngram_join.shingle_sets([rows[0][1].encode(), rows[3][1].encode()]))
+    pairs = spark.createDataFrame([(a, 100, b, 100)], "a long, na int, b long, nb int")
+    data = frame(spark, rows)
+    reports = ngram_join.survey(data, 5)
+    nodes = reports.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("c").alias("node"))
+    assert [r.overlap for r in ngram_join.overlaps(data, nodes, pairs, 5).collect()] == [56]
+    got = ngram_join.near_duplicates(data).collect()
+    assert {tuple(r) for r in got} == brute_components(rows) and len(got) == len(rows)
+
+
 def test_line_dedup(spark, docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     sets, inverted, gone = [], {}, set()
