@@ -1,8 +1,8 @@
 """Toxicity of texts whose abusive words may be disguised.
 
 A noisy channel restores words: leetspeak signs stand for letters, separators may
-stand inside a word, letters may be repeated, and single letters in a row may spell
-one word. The lattice of a token's readings is decoded with Viterbi under a character
+stand inside a word or end it, letters may be repeated, and single letters in a row,
+framed or not, may spell one word. The lattice of a token's readings is decoded with Viterbi under a character
 trigram model that mixes the corpus (counts over all documents) with the abusive
 terms that were learned; the restored text is then scored. A token whose lattice has
 a single path restores to itself.
@@ -50,12 +50,15 @@ LEET = {
 SEPARATORS = ".-_*'~^/\\"
 #: Costs, as negative logs, of reading a sign as a letter, dropping a separator, and dropping a repeated letter.
 COST_LEET, COST_SEPARATOR, COST_REPEAT = 0.7, 0.7, 1.5
+#: Cost of a sign that may be dropped or stand for a letter but ends a word, besides the model's cost of that end.
+COST_BREAK = 0.7
 #: A separator that may also stand for a letter is dropped less readily.
 COST_MASK = 1.6
 _A = 28  # letters, word edge, other letter
 _EDGE, _OTHER = 26, 27
 _SPLIT = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[0-9@$!|+(€£¡.\-_*'~^/\\]|(.)\1")
+_BREAKS = re.compile(r"[.\-_'~^/\\]+")
 #: What may frame a token; the second set leaves signs that may stand for a letter.
 _FRAMES = (".,;:!?\"'()[]{}<>&#%*$-_/\\|+~^", ".,;:?\"'()[]{}<>&#%-_/\\~^")
 
@@ -134,6 +137,7 @@ def restore(token: str, model: np.ndarray) -> str:
                 after[state] = (cost, path)
 
         letters = [(c, 0.0)] if c.isalpha() else [(x, COST_LEET) for x in LEET.get(c, "")]
+        ends = _is_sign(c) and (bool(letters) or c in SEPARATORS)
         for (a, b, last), (cost, path) in states.items():
             for letter, extra in letters:
                 s = _SYMBOL[letter]
@@ -144,6 +148,8 @@ def restore(token: str, model: np.ndarray) -> str:
                 reach((a, b, last), cost + (COST_MASK if letters else COST_SEPARATOR), path)
             elif not letters:  # a sign with no reading ends the word
                 reach((_EDGE, _EDGE, ""), cost, (" ", path))
+            if ends and last:
+                reach((_EDGE, _EDGE, ""), cost + COST_BREAK + model[(a * _A + b) * _A + _EDGE], (" ", path))
         states = after
     ends = [(cost + model[(a * _A + b) * _A + _EDGE], path) for (a, b, _), (cost, path) in states.items()]
     path, out = min(ends, key=lambda e: e[0])[1], []
@@ -153,6 +159,35 @@ def restore(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def _is_sign(c: str) -> bool:
+    """A word may begin behind it."""
+    return not c.isalnum()
+
+
+def _parts(token: str) -> list[str]:
+    """A token split at the signs that always end a word."""
+    return "".join(c if c.isalpha() or c in LEET or c in SEPARATORS else " " for c in token).split()
+
+
+def _starts(word: str) -> list[tuple[int, str]]:
+    """Where words may begin, from the left, and the skeleton of what follows."""
+    out, shape = [], ""
+    for i in range(len(word) - 1, -1, -1):
+        x = LEET.get(word[i], word[i])[0]
+        if x.isalpha() and x not in "aeiouyl" and not shape.startswith(x):
+            shape = (x + shape)[:2]
+        if not i or _is_sign(word[i - 1]):
+            out.append((i, shape))
+    return out[::-1]
+
+
+def _single(token: str) -> str:
+    """The single character that a token consists of, but for what frames it."""
+    if len(token) == 1 or token.isalnum():
+        return token if len(token) == 1 else ""
+    return next((core for core in map(token.strip, reversed(_FRAMES)) if len(core) == 1), "")
+
+
 def _skeleton(word: str) -> str:
     """The first two consonants but l, without repetition: the same for all disguises of a word."""
     out: list[str] = []
@@ -187,10 +222,14 @@ class Scorer(dict):
     def __missing__(self, token: str) -> float:
         best = self.words(token)
         if not best and _ODD.search(token):
-            for core in {token.strip(frame) for frame in _FRAMES}:
-                shape = _skeleton(core)
-                if _ODD.search(core) and (shape in self.shapes or shape.startswith(self.open)):
-                    best = max(best, self.words(restore(core, self.model)))
+            for core in {part.strip(frame) for part in _parts(token) for frame in _FRAMES}:
+                if _ODD.search(core):
+                    begin = next((i for i, shape in _starts(core) if shape in self.shapes or shape.startswith(self.open)), None)
+                    if begin is None:
+                        continue
+                    # what stands between separators may also be a word of its own
+                    own = [x for x in _BREAKS.split(core[begin:]) if _ODD.search(x) and ((shape := _skeleton(x)) in self.shapes or shape.startswith(self.open))]
+                    best = max([best, *(self.words(restore(x, self.model)) for x in {core[begin:], *own})])
         if len(self) >= CACHE:
             self.clear()
         if len(token) <= 64:
@@ -206,7 +245,8 @@ class Scorer(dict):
     def score(self, text: str, rate: float) -> float:
         tokens = text.lower().split()
         found = [p for p in map(self.__getitem__, set(tokens)) if p]
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        letter = {i: c for i, c in enumerate(map(_single, tokens)) if c}
+        single = list(letter)
         if len(single) > 2:
             run = [single[0]]
             for i in [*single[1:], None]:
@@ -214,7 +254,7 @@ class Scorer(dict):
                     run.append(i)
                     continue
                 if len(run) > 2:
-                    found += [p for p in [self.spelled("".join(tokens[j] for j in run))] if p]
+                    found += [p for p in [self.spelled("".join(letter[j] for j in run))] if p]
                 run = [i]
         clean = 1 - rate
         for p in sorted(found):

@@ -227,6 +227,15 @@ def test_ann(spark):
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 16)))]
     rows += [(600 + i, rows[40][1]) for i in range(60)]
     bad = [(1001, None), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [1.0] * 3), (None, rows[0][1]), (1020, [None] * 16)]
+def test_toxicity_finds_framed_words():
+    terms = {"idiot*": 0.99, "stupid*": 0.99, "scum": 0.98}
+    scorer = toxicity.Scorer(terms, toxicity.language_model(np.zeros(28**3), terms))
+    for text in ("the,1d10t", "<b>1d10t</b>", "you/1d10t", "the/1d10t", "the-s.c.u.m", "i d i o t.", "(s t u p i d)", '"i d i o t" he said'):
+        assert scorer.score(text, 0.02) >= 0.5, text
+    for text in ("the,10", "<b>10</b>", "you/10", "http://a.example/b/1?c=2", "a. b. c. d.", "(a b c)", "1. 2. 3. 4."):
+        assert scorer.score(text, 0.02) < 0.5, text
+
+
     df = spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id long, embedding array<double>, v int")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
