@@ -102,6 +102,19 @@ def test_line_dedup(spark, docs):
     assert {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs).collect()} == gone
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "All rights reserved.\nYes\n\n \nyes  sir"), (2, "all RIGHTS\treserved.\n\nyes\nrights all reserved."), (3, "yes sir\n \nYES\nyes sir no")]
+    seen, gone = [], set()
+    for d, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            words = tuple(lower(line).split())
+            if words and words in seen:
+                gone.add((d, n))
+            seen.append(words)
+    assert gone == {(2, 0), (2, 2), (3, 0), (3, 2)}
+    assert {(r.doc_id, r.line) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == gone
+
+
 def test_line_dedup_edges(spark):
     rows = [*EDGE, (20, "a b c d e f\nkeep this one here now"), (21, "A b c d  e f\nother words stand in here")]
     out = line_dedup.dedup_lines(frame(spark, rows))
@@ -214,6 +227,15 @@ def test_toxicity(spark):
     assert len(got) == len(EDGE) and all(r.predicted == 0 for r in got)
 
 
+def test_toxicity_finds_framed_words():
+    terms = {"idiot*": 0.99, "stupid*": 0.99, "scum": 0.98}
+    scorer = toxicity.Scorer(terms, toxicity.language_model(np.zeros(28**3), terms))
+    for text in ("the,1d10t", "<b>1d10t</b>", "you/1d10t", "the/1d10t", "the-s.c.u.m", "i d i o t.", "(s t u p i d)", '"i d i o t" he said'):
+        assert scorer.score(text, 0.02) >= 0.5, text
+    for text in ("the,10", "<b>10</b>", "you/10", "http://a.example/b/1?c=2", "a. b. c. d.", "(a b c)", "1. 2. 3. 4."):
+        assert scorer.score(text, 0.02) < 0.5, text
+
+
 def test_toxicity_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
@@ -227,15 +249,6 @@ def test_ann(spark):
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 16)))]
     rows += [(600 + i, rows[40][1]) for i in range(60)]
     bad = [(1001, None), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [1.0] * 3), (None, rows[0][1]), (1020, [None] * 16)]
-def test_toxicity_finds_framed_words():
-    terms = {"idiot*": 0.99, "stupid*": 0.99, "scum": 0.98}
-    scorer = toxicity.Scorer(terms, toxicity.language_model(np.zeros(28**3), terms))
-    for text in ("the,1d10t", "<b>1d10t</b>", "you/1d10t", "the/1d10t", "the-s.c.u.m", "i d i o t.", "(s t u p i d)", '"i d i o t" he said'):
-        assert scorer.score(text, 0.02) >= 0.5, text
-    for text in ("the,10", "<b>10</b>", "you/10", "http://a.example/b/1?c=2", "a. b. c. d.", "(a b c)", "1. 2. 3. 4."):
-        assert scorer.score(text, 0.02) < 0.5, text
-
-
     df = spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id long, embedding array<double>, v int")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
