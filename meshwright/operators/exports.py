@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
 from meshwright.operators import lookups
-from meshwright.sources.graph import Graph
+from meshwright.sources.graph import HIDDEN, Graph
 
 
 def denormalised(g: Graph) -> DataFrame:
@@ -47,3 +47,42 @@ def edge_list(g: Graph) -> DataFrame:
 def urls(g: Graph) -> DataFrame:
     """Each concept's address."""
     return g.concepts.select("text", F.concat(F.lit("/en/concept/"), F.replace(fn.quoted(F.col("text")), F.lit("%20"), F.lit("+")), F.lit("/")).alias("url"))
+
+
+def raw_rows(g: Graph) -> DataFrame:
+    """Raw assertions with an id and their wording."""
+    key = F.concat_ws("|", "relation", "c1", "c2", "freq", F.col("frame_id").cast("string"))
+    return g.raws.withColumns({"id": key, "text": fn.fill_in(F.col("frame"), F.trim("surface1"), F.trim("surface2"))})
+
+
+def gml(g: Graph) -> DataFrame:
+    """A line of GML for each node and each edge of the network."""
+    edges = g.useful.where("c1 <> c2")
+    nodes = edges.select(F.explode(F.array("c1", "c2")).alias("t")).distinct()
+    node = F.format_string('node [ id "%s" label "%s" ]', "t", "t")
+    edge = F.format_string('edge [ source "%s" target "%s" rel "%s" score %d freq "%s" ]', "c1", "c2", "relation", "score", "freq")
+    return nodes.select(node.alias("line")).unionByName(edges.select(edge.alias("line")))
+
+
+def n3_frames(g: Graph) -> DataFrame:
+    """A line for each frame that raw assertions use."""
+    used = g.raws.select("frame_id").distinct()
+    text = F.replace("text", F.lit('"'), F.lit("_"))
+    return g.frames.join(used, "frame_id", "left_semi").select(F.format_string('<frame/%d> RelationType <%s>; FrameText "%s"; FrameGoodness "%d".', "frame_id", "relation", text, "goodness").alias("line"))
+
+
+def reified(g: Graph) -> DataFrame:
+    """Eleven (subject, predicate, object) rows for each raw assertion of a useful assertion."""
+    rows = raw_rows(g).where("assertion_score > 0").where(~F.col("c1").isin(HIDDEN) & ~F.col("c2").isin(HIDDEN))
+    said = [
+        ("type", F.lit("Statement")), ("subject", F.col("c1")), ("predicate", F.col("relation")), ("object", F.col("c2")), ("LeftText", F.col("surface1")), ("RightText", F.col("surface2")),
+        ("FrameId", F.col("frame_id")), ("Language", F.lit("en")), ("Creator", F.col("creator")), ("Score", F.col("score")), ("Sentence", F.col("text")),
+    ]
+    each = F.array(*[F.struct(F.lit(p).alias("predicate"), o.cast("string").alias("object")) for p, o in said])
+    return rows.select(F.col("id").alias("subject"), F.explode(each).alias("x")).select("subject", "x.predicate", "x.object")
+
+
+def coloured(rows: DataFrame, rgb: list[tuple[str, int, int, int]]) -> DataFrame:
+    """text and html: the text on the colour that its similarities mix."""
+    mix = fn.colour_mix(F.col("sims"), rgb)
+    return rows.select("text", mix.alias("c")).select("text", F.format_string('<span style="background: rgb(%d,%d,%d)">%s</span>', "c.r", "c.g", "c.b", "text").alias("html"))

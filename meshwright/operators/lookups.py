@@ -17,8 +17,7 @@ def _top(df: DataFrame, limit: int) -> DataFrame:
 
 def concept_assertions(g: Graph, text: str, limit: int | None = None, direction: str = "all") -> DataFrame:
     """Useful assertions that touch a concept, best first; a direction is filtered after the limit."""
-    here = g.useful.where((F.col("c1") == text) | (F.col("c2") == text))
-    top = _top(here, fn.clamp_limit(limit))
+    top = _top(g.touching(text), fn.clamp_limit(limit))
     if direction != "all":
         top = top.where(F.col("c1" if direction == "forward" else "c2") == text)
     return top.select("relation", "c1", "c2", "freq", "score", fn.polarity(F.col("value")).alias("polarity"))
@@ -27,7 +26,8 @@ def concept_assertions(g: Graph, text: str, limit: int | None = None, direction:
 def matching_assertions(g: Graph, direction: str, relation: str, concept: str, limit: int | None = None) -> DataFrame:
     """Assertions of positive score with a feature; visibility doesn't matter here."""
     side = "c1" if direction == "left" else "c2"
-    found = g.assertions.where((F.col("score") > 0) & (F.col("relation") == relation) & (F.col(side) == concept))
+    table = g.assertions if side == "c1" else g.by_c2
+    found = table.where((F.col("score") > 0) & (F.col("relation") == relation) & (F.col(side) == concept))
     return _top(found, fn.clamp_limit(limit, over=20)).select("relation", "c1", "c2", "freq", "score")
 
 
@@ -37,7 +37,7 @@ def find_assertion(g: Graph, relation: str, c1: str, c2: str) -> DataFrame:
 
 def concept_features(g: Graph, text: str) -> DataFrame:
     """Distinct relations at either side of a concept, whatever the score."""
-    side = lambda c, name: g.assertions.where(F.col(c) == text).select(F.lit(name).alias("direction"), "relation").distinct()
+    side = lambda c, name: (g.assertions if c == "c1" else g.by_c2).where(F.col(c) == text).select(F.lit(name).alias("direction"), "relation").distinct()
     return side("c1", "left").unionByName(side("c2", "right"))
 
 
@@ -55,12 +55,11 @@ def feature_scores(g: Graph) -> DataFrame:
 
 def top_by_feature(g: Graph, text: str, limit: int = 50) -> DataFrame:
     """For each relation and direction, a concept's best assertions of positive score, with the group's size."""
-    here = g.assertions.where((F.col("score") > 0) & ((F.col("c1") == text) | (F.col("c2") == text)))
+    here = g.touching(text, useful=False).where("score > 0")
     here = here.withColumn("direction", F.when(F.col("c1") == text, "forward").otherwise("reverse"))
     group = Window.partitionBy("direction", "relation")
-    ranked = here.withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "c1", "c2", "freq"))).where(F.col("rank") <= limit)
-    size = F.count(F.lit(1)).over(group).alias("size")
-    return ranked.select("direction", "relation", "rank", "c1", "c2", "freq", (F.col("value") > 0).alias("positive"), size)
+    ranked = here.withColumns({"rank": F.row_number().over(group.orderBy(F.desc("score"), "c1", "c2", "freq")), "size": F.count(F.lit(1)).over(group)}).where(F.col("rank") <= limit)
+    return ranked.select("direction", "relation", "rank", "c1", "c2", "freq", (F.col("value") > 0).alias("positive"), "size")
 
 
 def surface_forms(g: Graph, text: str, limit: int | None = None) -> DataFrame:
@@ -109,3 +108,9 @@ def questions(g: Graph) -> DataFrame:
     wrap = lambda c: F.concat(F.lit("[["), F.col(c), F.lit("]]"))
     asked = F.coalesce("question_yn", F.concat("frame", F.lit("?")))
     return best.where("assertion_score > 0").select("relation", "c1", "c2", "freq", fn.fill_in(asked, wrap("c1"), wrap("c2")).alias("question"))
+
+
+def top_groups(g: Graph, text: str) -> DataFrame:
+    """direction, relation and size of the groups of a concept's assertions of positive score, all counted."""
+    here = g.touching(text, useful=False).where("score > 0")
+    return here.groupBy(F.when(F.col("c1") == text, "forward").otherwise("reverse").alias("direction"), "relation").agg(F.count("*").alias("size"))

@@ -42,7 +42,7 @@ def move_concept(g: Graph, old: str, new: str) -> DataFrame:
 
 def implicit_votes(g: Graph) -> DataFrame:
     """Voters per object with the implied vote of its first voter added where they haven't voted the object up."""
-    first = g.vote_log.groupBy("c1", "c2").agg(F.min("user_id").alias("user_id")).withColumn("vote", F.lit(1))
+    first = g.votes.groupBy("c1", "c2").agg(F.min("user_id").alias("user_id")).withColumn("vote", F.lit(1))
     added = first.join(g.votes.where("vote = 1").select("c1", "c2", "user_id"), ["c1", "c2", "user_id"], "left_anti")
     both = g.votes.select("c1", "c2", "user_id", "vote").unionByName(added.select("c1", "c2", "user_id", "vote"))
     return both.groupBy("c1", "c2").agg(F.count_distinct("user_id").alias("voters"), F.sum("vote").alias("score"))
@@ -52,10 +52,3 @@ def placeholder_users(g: Graph) -> DataFrame:
     """Everyone who orders or acts, once, with a placeholder name."""
     ids = g.table("orders").select(F.col("o_custkey").alias("user_id")).union(g.table("events").select("user_id")).distinct()
     return ids.select("user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"))
-
-
-def relabelled(g: Graph) -> DataFrame:
-    """'x is for y' style fixes: HasProperty rows whose property starts with a marker move to another relation."""
-    marked = F.col("c2").startswith("a")
-    rows = g.assertions.where("relation = 'HasProperty'")
-    return rows.select("c1", F.when(marked, "UsedFor").otherwise("HasProperty").alias("relation"), F.when(marked, F.substring("c2", 2, 100)).otherwise(F.col("c2")).alias("c2"), fn.polarity(F.col("value")).alias("polarity"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
+from meshwright.sources import store
 from meshwright.sources.graph import Graph
 
 
@@ -62,7 +64,7 @@ def identities(q: DataFrame, weight: float = 1.0) -> DataFrame:
 def build_matrix(q: DataFrame, cutoff: int = 5) -> DataFrame:
     """Summed feature cells of the rows and columns that have at least `cutoff` cells."""
     col = ["direction", "relation", "other"]
-    cells = to_features(q).groupBy("concept", *col).agg(F.sum("value").alias("value"))
+    cells = store.written(to_features(q).groupBy("concept", *col).agg(F.sum("value").alias("value")), "cells")
     rows = cells.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)
     cols = cells.groupBy(*col).agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)
     return cells.join(rows, "concept", "left_semi").join(cols, col, "left_semi")
@@ -77,26 +79,91 @@ def normalised(cells: DataFrame) -> DataFrame:
     return cells.join(r, "concept").join(c, col).select("concept", *col, (F.col("value") / F.sqrt(F.col("r") * F.col("c"))).alias("value"))
 
 
-def singular_vectors(cells: DataFrame, k: int = 2, rounds: int = 6, seed: int = 3) -> DataFrame:
-    """concept and the k leading left singular directions, by block power iteration on the cells.
+def singular_vectors(cells: DataFrame, k: int = 2, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, list[float]]:
+    """concept and v, its entries of the k leading left singular vectors, and the singular values.
 
-    Only the k x k products that orthonormalise the block reach the driver.
+    Block power iteration on the cells, written once a round; only k x k products reach the
+    driver. The last round turns the block to the singular directions.
     """
-    import numpy as np
-
     cols = ["direction", "relation", "other"]
-    cells = cells.select("concept", F.concat_ws("|", *cols).alias("f"), "value")
-    start = [((F.xxhash64("concept", F.lit(seed + i)) % 1000003) / 1000003.0).alias(f"v{i}") for i in range(k)]
+    cells = store.written(cells.select("concept", F.concat_ws("|", *cols).alias("f"), "value"), "cells")
+    names = [f"v{i}" for i in range(k)]
+    start = [((F.xxhash64("concept", F.lit(seed + i)) % 1000003) / 1000003.0).alias(v) for i, v in enumerate(names)]
     block = cells.select("concept").distinct().select("concept", *start)
+
+    def gram(rows: DataFrame) -> np.ndarray:
+        got = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names)).first()
+        return np.array([[got[f"{a}{b}"] or 0.0 for b in names] for a in names])
+
+    def turned(rows: DataFrame, w: np.ndarray) -> DataFrame:
+        return rows.select("concept", *(sum((F.col(a) * float(w[i, j]) for i, a in enumerate(names)), F.lit(0.0)).alias(f"v{j}") for j in range(k)))
+
+    def across(rows: DataFrame, key: str, to: str) -> DataFrame:
+        return cells.join(rows, key).groupBy(to).agg(*(F.sum(F.col("value") * F.col(v)).alias(v) for v in names))
+
     for _ in range(rounds):
-        names = [f"v{i}" for i in range(k)]
-        right = cells.join(block, "concept").groupBy("f").agg(*(F.sum(F.col("value") * F.col(v)).alias(v) for v in names))
-        left = cells.join(right, "f").groupBy("concept").agg(*(F.sum(F.col("value") * F.col(v)).alias(v) for v in names))
-        gram = left.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names)).first()
-        g = np.array([[gram[f"{a}{b}"] or 0.0 for b in names] for a in names])
-        w = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.eye(k))).T
-        block = left.select("concept", *(sum(F.col(a) * float(w[i, j]) for i, a in enumerate(names)).alias(f"v{j}") for j in range(k)))
-    return block
+        block = store.written(across(across(block, "concept", "f"), "f", "concept"), "block")
+        g = gram(block)
+        block = turned(block, np.linalg.pinv(np.linalg.cholesky(g + 1e-12 * (np.trace(g) + 1) * np.eye(k))).T)
+    square, w = np.linalg.eigh(gram(across(block, "concept", "f")))
+    order = np.argsort(-square)
+    block = turned(block, w[:, order])
+    values = np.sqrt(np.maximum(square[order], 0)).tolist()
+    return block.select("concept", F.array(*names).alias("v")), values
+
+
+def activation(vectors: DataFrame, values: list[float], offset: float = 1e-5) -> DataFrame:
+    """Rows of U * exp(S), each over its length plus an offset: the embedding that similarity uses."""
+    grown = F.zip_with("v", F.array(*[F.lit(float(np.exp(x))) for x in values]), lambda a, b: a * b)
+    rows = vectors.select("concept", grown.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + offset
+    return rows.select("concept", length.alias("length"), "v").select("concept", F.transform("v", lambda x: x / F.col("length")).alias("v"))
+
+
+def similar_terms(vectors: DataFrame, terms: dict[str, float], limit: int = 20) -> DataFrame:
+    """Concepts by their product with the weighted sum of the terms' rows, above 0; unknown terms are left out."""
+    found = {r.concept: list(r.v) for r in vectors.where(F.col("concept").isin(list(terms))).collect()}
+    known = [np.array(v) * terms[c] for c, v in found.items()]
+    if not known:
+        return vectors.select("concept", F.lit(0.0).alias("score")).where(F.lit(False))
+    q = F.array(*[F.lit(float(x)) for x in np.sum(known, 0)])
+    score = F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return vectors.select("concept", score.alias("score")).orderBy(F.desc("score"), "concept").limit(limit).where("score > 0")
+
+
+def top_features(cells: DataFrame, concept: str, limit: int = 10) -> DataFrame:
+    """The strongest cells of a row."""
+    return cells.where(F.col("concept") == concept).orderBy(F.desc("value"), "direction", "relation", "other").limit(limit)
+
+
+def near_anchor(rows: DataFrame, anchor: int, least: float = 0.9) -> DataFrame:
+    """Rows of vectors (vec_id, embedding) whose cosine with the anchor's is above `least`."""
+    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = rows.where(F.col("vec_id") == anchor).select(F.col("v").alias("q")).limit(1)
+    cosine = dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q"))
+    return rows.join(F.broadcast(one), F.lit(True)).select("vec_id", cosine.alias("cosine")).where(F.col("cosine") > least)
+
+
+def blend(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Cells of several matrices in one: each normalised, at its weight, equal cells summed."""
+    col = ["concept", "direction", "relation", "other"]
+    rows = [normalised(cells).select(*col, (F.col("value") * w).alias("value")) for cells, w in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy(*col).agg(F.sum("value").alias("value"))
+
+
+def colour_cells(contexts: DataFrame) -> DataFrame:
+    """Cells of (word, colour, weight) rows: each word's feature of having a colour."""
+    return contexts.select(F.col("word").alias("concept"), F.lit("right").alias("direction"), F.lit("HasColor").alias("relation"), F.col("colour").alias("other"), F.col("weight").cast("double").alias("value"))
+
+
+def category(vectors: DataFrame, terms: dict[str, float]) -> list[float] | None:
+    """The mean direction of some concepts, as a query vector."""
+    found = {r.concept: np.array(r.v) for r in vectors.where(F.col("concept").isin(list(terms))).collect()}
+    return None if not found else np.sum([v * terms[c] for c, v in found.items()], 0).tolist()
 
 
 def similar(vectors: DataFrame, terms: dict[int, float], limit: int = 20) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
+from meshwright.sources import store
 from meshwright.sources.graph import Graph
 
 #: Forward weights of relations in spreading activation; others are not followed.
-WEIGHTS = {"IsA": 0.9, "HasProperty": 0.9, "PartOf": 0.9, "MadeOf": 0.7, "AtLocation": 0.7, "CapableOf": 0.5, "DefinedAs": 1.0}
+WEIGHTS = {
+    "AtLocation": 0.9, "CapableOf": 0.8, "Causes": 1.0, "CausesDesire": 1.0, "ConceptuallyRelatedTo": 1.0, "CreatedBy": 1.0, "DefinedAs": 1.0,
+    "Desires": 1.0, "HasFirstSubevent": 1.0, "HasLastSubevent": 1.0, "HasPrerequisite": 1.0, "HasProperty": 1.0, "HasSubevent": 0.9, "IsA": 0.9,
+    "MadeOf": 0.7, "MotivatedByGoal": 1.0, "PartOf": 1.0, "ReceivesAction": 0.6, "UsedFor": 1.0,
+}
 #: Weights of relations in analogies, 1 for the rest; and relations that don't count there.
 ANALOGY = {"HasProperty": 3.0, "UsedFor": 2.0, "CapableOf": 2.0, "ReceivesAction": 1.5}
 STOPPED = ["ConceptuallyRelatedTo", "ThematicKLine", "SuperThematicKline"]
@@ -55,26 +62,160 @@ def spread(g: Graph, origins: dict[str, float], hops: int = 2, beam: int = 500,
     return found.select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(limit)
 
 
-def related(g: Graph, root: str, levels: int = 2, limit: int = 100) -> DataFrame:
-    """Concepts by level from a root: weights fall with the level, and the best way to a concept counts."""
-    edges = g.useful.select("c1", "c2", (fn.edge_value(F.col("score"), F.col("value")) * _weight(WEIGHTS)).alias("w"))
-    level = g.spark.createDataFrame([(root, 1.0)], "node string, weight double")
-    every = None
-    for depth in range(1, levels + 1):
-        nexts = level.join(edges, level.node == edges.c1).select(F.col("c2").alias("node"), (F.col("weight") * F.col("w") / depth).alias("weight"))
-        level = nexts.groupBy("node").agg(F.max("weight").alias("weight"))
-        tagged = level.withColumn("level", F.lit(depth))
-        every = tagged if every is None else every.unionByName(tagged)
-    best = every.groupBy("node").agg(F.max("weight").alias("weight"), F.min("level").alias("level"))
-    return best.select("node", F.round("weight", 6).alias("weight"), "level").orderBy(F.desc("weight"), F.desc("node")).limit(limit)
+#: The forward weights of each projection.
+PROJECTIONS = {
+    "affective": {"Desires": 1.0, "CausesDesire": 1.0, "MotivatedByGoal": 1.0},
+    "spatial": {"AtLocation": 1.0, "ConceptuallyRelatedTo": 0.5},
+    "details": {"HasFirstSubevent": 1.0, "HasLastSubevent": 1.0, "HasSubevent": 1.0, "MadeOf": 1.0, "PartOf": 1.0, "HasProperty": 0.9},
+    "consequences": {"CausesDesire": 1.0, "UsedFor": 0.4, "CapableOf": 0.4, "ReceivesAction": 0.3, "Causes": 1.0},
+}
+
+
+def link_weights(forward: dict[str, float] | None = None, reverse: dict[str, float] | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights by relation for both directions: the defaults, or what is given with 0 for the rest."""
+    if forward is None and reverse is None:
+        return dict(WEIGHTS), dict.fromkeys(WEIGHTS, 0.0)
+    return {r: (forward or {}).get(r, 0.0) for r in WEIGHTS}, {r: (reverse or {}).get(r, 0.0) for r in WEIGHTS}
+
+
+def origin_weights(origins: dict[str, float] | list[str] | str) -> dict[str, float]:
+    """Origins as texts with weights, from a text, a list or a dict; trimmed."""
+    given = {origins: 1.0} if isinstance(origins, str) else origins if isinstance(origins, dict) else dict.fromkeys(origins, 1.0)
+    return {text.strip(): float(w) for text, w in given.items()}
+
+
+def known_origins(g: Graph, origins: dict[str, float] | list[str] | str) -> tuple[dict[str, float], list[str]]:
+    """The concepts that the origins name, whatever their case, and the names that aren't known."""
+    wanted = origin_weights(origins)
+    low = {t.lower(): w for t, w in wanted.items()}
+    rows = g.concepts.where(F.lower("text").isin(list(low))).groupBy(F.lower("text").alias("low")).agg(F.min("text").alias("text")).collect()
+    return {r.text: low[r.low] for r in rows}, sorted(t for t in wanted if t.lower() not in {r.low for r in rows})
+
+
+def _directed(g: Graph, forward: dict[str, float], reverse: dict[str, float]) -> DataFrame:
+    """node, other, factor of every way along an edge whose relation has a weight, discounted by the other end's degree."""
+    edges = g.useful.select("relation", "c1", "c2").distinct()
+    ways = []
+    for here, there, weights in (("c1", "c2", forward), ("c2", "c1", reverse)):
+        if any(weights.values()):
+            degree = edges.groupBy(F.col(here).alias(there)).agg(F.count("*").alias("d"))
+            factor = F.lit(0.5) * fn.branching_discount(F.coalesce("d", F.lit(0)).cast("double")) * _weight(weights)
+            ways.append(edges.join(degree, there, "left").select(F.col(here).alias("node"), F.col(there).alias("other"), factor.alias("factor")).where("factor > 0"))
+    out = ways[0]
+    for w in ways[1:]:
+        out = out.unionByName(w)
+    return out
+
+
+def activate(g: Graph, origins: dict[str, float] | list[str] | str, visits: int = 500, limit: int = 200, weights: tuple[dict, dict] | None = None) -> DataFrame:
+    """Spreading activation, best first: the strongest waiting node is visited next and passes its activation on.
+
+    At most `visits` - 1 visits; the queue holds the `QUEUE` strongest; ties go by name; visits of a
+    node merge by probabilistic or, and origins aren't results. The queue and the
+    ways out of waiting nodes (the QUEUE strongest each, as no more can wait) are bounded, so the
+    search runs on the driver and asks Spark for the ways out of many nodes at once.
+    """
+    start, _ = known_origins(g, origins)
+    forward, reverse = weights or link_weights()
+    if not start or not (any(forward.values()) or any(reverse.values())):
+        return g.spark.createDataFrame([], "node string, score double")
+    ways = store.written(_directed(g, forward, reverse), "ways")
+    top = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("factor"), "other"))
+    bounded = ways.withColumn("rn", top).where(F.col("rn") <= QUEUE)
+    degrees = {r.c1: r.n for r in g.useful.select("relation", "c1", "c2").distinct().where(F.col("c1").isin(list(start))).groupBy("c1").agg(F.count("*").alias("n")).collect()}
+    discount = lambda d: math.exp(-((math.log(d + 5, 5) - 2.5) ** 2) / 2) / math.sqrt(2 * math.pi)
+    queue = sorted(((t, w * discount(degrees.get(t, 0))) for t, w in start.items()), key=lambda x: (-x[1], x[0]))
+    out: dict[str, list[tuple[str, float]]] = {}
+    reached: dict[str, float] = {}
+    for _ in range(visits - 1):
+        if not queue:
+            break
+        node, score = queue.pop(0)
+        if node not in out:
+            # the likeliest next nodes' ways come in the same job
+            ask = list(dict.fromkeys([node, *(n for n, _ in queue[:ASK] if n not in out)]))
+            out.update({n: [] for n in ask})
+            for r in bounded.where(F.col("node").isin(ask)).select("node", "other", "factor").collect():
+                out[r.node].append((r.other, r.factor))
+        if node not in start:
+            reached[node] = 1 - (1 - reached.get(node, 0.0)) * (1 - score)
+        queue = sorted(queue + [(other, factor * score) for other, factor in out[node]], key=lambda x: (-x[1], x[0]))[:QUEUE]
+    best = sorted(reached.items(), key=lambda x: (-x[1], x[0]))[:limit]
+    return g.spark.createDataFrame(best, "node string, score double")
+
+
+#: Waiting nodes, and nodes asked for in one job.
+QUEUE, ASK = 500, 60
+
+
+def project(g: Graph, kind: str, origins: dict[str, float], **more) -> DataFrame:
+    """Activation along the relations of one projection."""
+    return spread(g, origins, weights=PROJECTIONS[kind], **more)
+
+
+def all_projections(g: Graph, origins: dict[str, float], **more) -> DataFrame:
+    out = None
+    for kind in PROJECTIONS:
+        rows = project(g, kind, origins, **more).select(F.lit(kind).alias("projection"), "node", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def related(g: Graph, root: str, expansions: int = 101, levels: int = 10, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """node, weight, level: what level-by-level expansion from a root reaches, in at most `expansions` expanded nodes.
+
+    A node's weight is its cell's value over the level, times its parent's weight and the relation's.
+    A node met again takes the mean of old and new, the new one's part being 1 / (2 (d + 1)) where
+    d is how many levels lie between. Within a level parents count by their order, with the weights they
+    had when it began, and a parent's edges by relation, name and frequency.
+    """
+    value = fn.edge_value(F.col("score"), F.col("value"))
+    edges = g.useful.select(F.col("c1").alias("parent"), "relation", F.col("c2").alias("node"), "freq", value.alias("v"), _weight(weights).alias("w")).where("v > 0 and w > 0")
+    known: dict[str, tuple[float, int]] = {}
+    weight, seen, queue, level = {root: 1.0}, set(), [root], 0
+    while queue and len(seen) < expansions and level < levels:
+        level += 1
+        now = [n for n in dict.fromkeys(queue) if n not in seen][: expansions - len(seen)]
+        seen.update(now)
+        frontier = g.spark.createDataFrame([(n, i, weight[n]) for i, n in enumerate(now)], "parent string, place int, pw double")
+        rows = edges.join(F.broadcast(frontier), "parent")
+        # a node has at most a few edges from each of the frontier's bounded number of parents
+        part = F.struct("place", "relation", "freq", (F.col("v") / level * F.col("pw") * F.col("w")).alias("x"))
+        merged = rows.groupBy("node").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        queue = []
+        for r in merged.select("node", "parts").orderBy(F.expr("parts[0]"), "node").limit(FRONTIER).collect():
+            for p in r.parts:
+                new = p.x
+                if r.node in known:
+                    old, at = known[r.node]
+                    share = 1.0 / (2 * (level - at + 1))
+                    new = share * new + (1 - share) * old
+                known[r.node] = (new, level)
+                weight[r.node] = new
+            queue.append(r.node)
+    rows = sorted(((n, round(w, 6), at) for n, (w, at) in known.items()), key=lambda x: (x[1], x[0]), reverse=True)
+    return g.spark.createDataFrame(rows, "node string, weight double, level int")
+
+
+#: Nodes that one level may bring to the driver.
+FRONTIER = 100_000
+
+
+def node_edges(g: Graph, node: str, limit: int = 1000) -> DataFrame:
+    """A node's useful edges, out and in, at most `limit` each, as text."""
+    side = lambda table, c, name: g._useful(table.where(F.col(c) == node)).select(F.lit(name).alias("side"), F.format_string("%s --%s--> %s (%d)", "c1", "relation", "c2", "score").alias("text")).orderBy("text").limit(limit)
+    return side(g.assertions, "c1", "out").unionByName(side(g.by_c2, "c2", "in"))
 
 
 def analogous(g: Graph, node: str, limit: int = 50) -> DataFrame:
-    """Concepts that share (relation, target) structures with `node`: summed strengths and what is shared."""
+    """Concepts that share (relation, target) structures with `node`: summed strengths and what is shared.
+
+    A structure whose frequencies and scores sum to less than 1 has strength 0.
+    """
     rows = g.useful.where(~F.col("relation").isin(STOPPED)).select("relation", "c1", "c2", "score", "value")
     mine = rows.where(F.col("c1") == node).select("relation", "c2", F.col("score").alias("score1"), F.col("value").alias("value1"))
     others = rows.where(F.col("c1") != node)
-    strength = F.log(F.col("value") + F.col("value1") + (F.col("score") + F.col("score1")) * 0.5 + 2) / F.log(F.lit(4.0)) * _weight(ANALOGY, 1.0)
+    strength = F.log(F.greatest(F.col("value") + F.col("value1") + (F.col("score") + F.col("score1")) * 0.5 + 2, F.lit(1))) / F.log(F.lit(4.0)) * _weight(ANALOGY, 1.0)
     shared = others.join(mine, ["relation", "c2"]).select("c1", strength.alias("s"), F.concat_ws("/", "relation", "c2").alias("structure"))
     found = shared.groupBy(F.col("c1").alias("candidate")).agg(F.round(F.sum("s"), 5).alias("score"), F.array_join(F.array_sort(F.collect_set("structure")), ",").alias("structures"))
     return found.orderBy(F.desc("score"), "candidate").limit(limit)

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
 from meshwright.operators import exports, lookups, maintenance, matrix, traversal, voting
-from meshwright.sources.graph import SQL, Graph
+from meshwright.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from meshwright.streaming import votes as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 KEY = ["c1", "c2"]
 
 
-def query(name: str, sql: str | None = None, graph: bool = True):
-    """Register a function of a Graph, with the SQL behind the graph's own tables."""
-
-    def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = (SQL if graph else "") + sql
-        return f
-
-    return add
-
-
 # Look-ups
 
 _TOP = "SELECT relation, c1, c2, freq, score, {more} FROM {table} WHERE {where} ORDER BY score DESC, relation, c1, c2, freq LIMIT {limit}"
@@ -85,8 +69,8 @@ def _(g):
 
 
 @query("agg_top_by_feature", """, h AS (SELECT *, CASE WHEN c1 = 'NATION_3' THEN 'forward' ELSE 'reverse' END AS direction FROM assertions WHERE score > 0 AND (c1 = 'NATION_3' OR c2 = 'NATION_3')),
-r AS (SELECT *, row_number() OVER (PARTITION BY direction, relation ORDER BY score DESC, c1, c2, freq) AS rank FROM h)
-SELECT direction, relation, CAST(rank AS INTEGER) AS rank, c1, c2, freq, value > 0 AS positive, count(*) OVER (PARTITION BY direction, relation) AS size FROM r WHERE rank <= 50""")
+r AS (SELECT *, row_number() OVER (PARTITION BY direction, relation ORDER BY score DESC, c1, c2, freq) AS rank, count(*) OVER (PARTITION BY direction, relation) AS size FROM h)
+SELECT direction, relation, CAST(rank AS INTEGER) AS rank, c1, c2, freq, value > 0 AS positive, size FROM r WHERE rank <= 50""")
 def _(g):
     return lookups.top_by_feature(g, "NATION_3")
 
@@ -114,7 +98,7 @@ def _(g):
     return lookups.questions(g)
 
 
-@query("nl_feature_frames", """, f AS (SELECT *, CASE WHEN freq <> 'not' AND goodness >= 3 THEN 0 WHEN freq <> 'not' AND goodness >= 2 THEN 1 ELSE 2 END AS tier FROM frames)
+@query("nl_feature_frames", """, f AS (SELECT *, CASE WHEN freq NOT IN ('not', 'rarely') AND goodness >= 3 THEN 0 WHEN freq NOT IN ('not', 'rarely') AND goodness >= 2 THEN 1 ELSE 2 END AS tier FROM frames)
 SELECT relation, frame_id, tier, replace(replace(replace(text, '{%}', ''), '{1}', '...'), '{2}', '...') AS display FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY tier, goodness DESC, frame_id) AS rn FROM f) WHERE rn = 1""")
 def _(g):
     return lookups.feature_frames(g)
@@ -241,11 +225,6 @@ def _(g):
     return matrix.similar(g.table("embeddings"), {1: 1.0, 2: 0.5})
 
 
-@query("mat_singular_vectors")
-def _(g):
-    return matrix.singular_vectors(matrix.normalised(matrix.build_matrix(matrix.quads(g))))
-
-
 # Traversal
 
 
@@ -254,39 +233,18 @@ def _(g):
     return traversal.network(g)
 
 
-_WEIGHT = "CASE relation " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in traversal.WEIGHTS.items()) + " ELSE 0 END"
-
-
-@query("gra_spread", f""", e AS (SELECT DISTINCT relation, c1, c2 FROM useful), d AS (SELECT c1 AS c2, count(*) AS d FROM e GROUP BY c1),
-st AS (SELECT e.c1, e.c2, 0.5 * exp(-power(ln(coalesce(d, 0) + 5) / ln(5) - 2.5, 2) / 2) / sqrt(2 * pi()) * ({_WEIGHT}) AS f FROM e LEFT JOIN d ON e.c2 = d.c2),
-v1 AS (SELECT c2 AS node, f AS s FROM st WHERE c1 = 'NATION_3' AND f > 0 ORDER BY s DESC, node LIMIT 500),
-v2 AS (SELECT c2 AS node, s * f AS s FROM v1 JOIN st ON node = c1 WHERE f > 0 ORDER BY s DESC, node LIMIT 500),
-v AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2)
-SELECT node, round(1 - exp(sum(ln(1 - s))), 6) AS score FROM v WHERE node <> 'NATION_3' GROUP BY node ORDER BY score DESC, node LIMIT 200""")
-def _(g):
-    return traversal.spread(g, {"NATION_3": 1.0})
-
-
-@query("gra_related", f""", e AS (SELECT c1, c2, value / 10.0 * log2(greatest(score + 1, 1)) * ({_WEIGHT}) AS w FROM useful),
-l1 AS (SELECT c2 AS node, max(w) AS weight FROM e WHERE c1 = 'NATION_3' GROUP BY c2), l2 AS (SELECT c2 AS node, max(weight * w / 2) AS weight FROM l1 JOIN e ON node = c1 GROUP BY c2),
-a AS (SELECT *, 1 AS level FROM l1 UNION ALL SELECT *, 2 FROM l2)
-SELECT node, round(max(weight), 6) AS weight, min(level) AS level FROM a GROUP BY node ORDER BY weight DESC, node DESC LIMIT 100""")
-def _(g):
-    return traversal.related(g, "NATION_3")
-
-
-@query("gra_analogy", """, m AS (SELECT relation, c2, score AS s1, value AS v1 FROM useful WHERE c1 = 'NATION_3'),
-x AS (SELECT u.c1, log2(value + v1 + (score + s1) * 0.5 + 2) / 2 * CASE u.relation WHEN 'HasProperty' THEN 3 WHEN 'UsedFor' THEN 2 WHEN 'CapableOf' THEN 2 WHEN 'ReceivesAction' THEN 1.5 ELSE 1 END AS s, u.relation || '/' || u.c2 AS t
-  FROM useful u JOIN m ON u.relation = m.relation AND u.c2 = m.c2 WHERE u.c1 <> 'NATION_3')
+@query("gra_analogy", """, m AS (SELECT relation, c2, score AS s1, value AS v1 FROM useful WHERE c1 = 'Supplier#000000001'),
+x AS (SELECT u.c1, log2(greatest(value + v1 + (score + s1) * 0.5 + 2, 1)) / 2 * CASE u.relation WHEN 'HasProperty' THEN 3 WHEN 'UsedFor' THEN 2 WHEN 'CapableOf' THEN 2 WHEN 'ReceivesAction' THEN 1.5 ELSE 1 END AS s, u.relation || '/' || u.c2 AS t
+  FROM useful u JOIN m ON u.relation = m.relation AND u.c2 = m.c2 WHERE u.c1 <> 'Supplier#000000001')
 SELECT c1 AS candidate, round(sum(s), 5) AS score, string_agg(DISTINCT t, ',' ORDER BY t) AS structures FROM x GROUP BY c1 ORDER BY score DESC, candidate LIMIT 50""")
 def _(g):
-    return traversal.analogous(g, "NATION_3")
+    return traversal.analogous(g, "Supplier#000000001")
 
 
 # Scalar functions
 
 
-@query("fn_edge_values", "SELECT relation, c1, c2, freq, round(value / 10.0 * log2(greatest(score + 1, 1)), 5) AS weight, CASE WHEN value >= 0 THEN 1 ELSE -1 END AS polarity FROM assertions")
+@query("fn_edge_values", "SELECT relation, c1, c2, freq, round(value / 10.0 * log2(greatest(score + 1, 1)), 5) + 0.0 AS weight, CASE WHEN value >= 0 THEN 1 ELSE -1 END AS polarity FROM assertions")
 def _(g):
     return g.assertions.select("relation", "c1", "c2", "freq", F.round(fn.edge_value(F.col("score"), F.col("value")), 5).alias("weight"), fn.polarity(F.col("value")).alias("polarity"))
 
@@ -312,7 +270,7 @@ def _(g):
     return maintenance.repoint_raws(g)
 
 
-@query("jn_dangling", "SELECT relation, c1, c2, freq FROM useful WHERE c2 NOT IN (SELECT c1 FROM useful)")
+@query("jn_dangling", "SELECT relation, c1, c2, freq FROM useful u WHERE NOT EXISTS (SELECT 1 FROM useful v WHERE v.c1 = u.c2)")
 def _(g):
     return maintenance.dangling(g.useful.select("relation", "c1", "c2", "freq"), ["c2"], g.useful.select(F.col("c1").alias("c2"))).select("relation", "c1", "c2", "freq")
 
@@ -330,7 +288,7 @@ def _(g):
     return maintenance.move_concept(g, "NATION_3", "NATION_4")
 
 
-@query("wrt_implicit_votes", """, f AS (SELECT c1, c2, min(user_id) AS user_id FROM vote_log GROUP BY c1, c2), a AS (SELECT c1, c2, user_id, 1 AS vote FROM f WHERE (c1, c2, user_id) NOT IN (SELECT c1, c2, user_id FROM votes WHERE vote = 1)),
+@query("wrt_implicit_votes", """, f AS (SELECT c1, c2, min(user_id) AS user_id FROM votes GROUP BY c1, c2), a AS (SELECT c1, c2, user_id, 1 AS vote FROM f WHERE (c1, c2, user_id) NOT IN (SELECT c1, c2, user_id FROM votes WHERE vote = 1)),
 b AS (SELECT c1, c2, user_id, vote FROM votes UNION ALL SELECT * FROM a) SELECT c1, c2, count(DISTINCT user_id) AS voters, CAST(sum(vote) AS BIGINT) AS score FROM b GROUP BY c1, c2""")
 def _(g):
     return maintenance.implicit_votes(g)
@@ -382,3 +340,7 @@ SELECT object_id, CAST(sum(vote) AS BIGINT) AS score, count(*) AS n_votes FROM l
 def _(g):
     log = stream.event_votes(g.table("events"))
     return voting.scores(voting.last_votes(log, "user_id", ["object_id"], ["ts", "event_id"]), ["object_id"])
+
+
+# the other query modules register themselves
+from meshwright.plans import file_queries, graph_queries, point_queries, write_queries  # noqa: E402, F401

@@ -2,6 +2,10 @@
 
 Keys are natural: a concept is its text, an assertion is (relation, c1, c2, freq), so
 tables can be rebuilt in any partitioning and joined without a global numbering.
+
+The tables that look-ups share (votes, assertions, concepts, surfaces) are written once per
+session and source folder. Assertions stand twice, sorted by either end, so that a
+concept's own are found by skipping files and row groups.
 """
 
 from __future__ import annotations
@@ -9,9 +13,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.sources import store
+
 #: Concepts that a language's blacklist hides.
 HIDDEN = ["HOUSEHOLD"]
 #: Frame id, relation, text, goodness, frequency text, yes/no question.
@@ -27,11 +33,13 @@ FRAMES = [
     (9, "AtLocation", "{1} is in {2}", 4, "sometimes", "is {1} in {2}?"),
     (10, "PartOf", "{1} is part of {2}", 4, "always", None),
     (11, "PartOf", "{1} is part of {2}", 2, "always", None),
+    (12, "CapableOf", "{1} cannot make {2}", 3, "not", None),
+    (13, "CapableOf", "{1} usually makes {2}", 3, "usually", None),
 ]
 #: Relations that have a description.
 RELATIONS = ["AtLocation", "CapableOf", "DefinedAs", "Desires", "HasProperty", "IsA", "MadeOf", "PartOf", "UsedFor"]
-#: adverbs' frequency texts and values.
-FREQUENCIES = [("always", 10), ("usually", 8), ("", 5), ("sometimes", 4), ("rarely", 2), ("not", -5), ("never", -10)]
+#: The canonical frequency texts and their values.
+FREQUENCIES = [("never", -10), ("not", -5), ("rarely", -2), ("occasionally", 2), ("sometimes", 4), ("", 5), ("generally", 6), ("usually", 8), ("almost always", 9), ("always", 10)]
 
 
 def distinct_edges(df: DataFrame, relation: str, c1: Column, c2: Column, score: int, freq: str) -> DataFrame:
@@ -48,30 +56,60 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build, by: str | None = None) -> DataFrame:
+        return store.stored(self.spark, self.sf_dir, name, build, by)
+
     @cached_property
     def vote_log(self) -> DataFrame:
-        """user_id, c1, c2, vote and the columns that order a user's votes on an object."""
+        """user_id, c1, c2, vote, freq and the columns that order a user's votes on an object."""
         order = self.table("orders").select("o_orderkey", "o_custkey")
         part = self.table("part").select("p_partkey", "p_name")
         supplier = self.table("supplier").select("s_suppkey", "s_name")
         line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
         joined = line.join(order, line.l_orderkey == order.o_orderkey).join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-        vote = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
-        return joined.select(F.col("o_custkey").alias("user_id"), F.col("s_name").alias("c1"), F.col("p_name").alias("c2"), vote.alias("vote"), *ORDER)
+        flag = F.col("l_returnflag")
+        vote = F.when(flag == "R", -1).otherwise(1)
+        freq = F.when(flag == "R", "not").when(flag == "N", "usually").otherwise("")
+        return joined.select(F.col("o_custkey").alias("user_id"), F.col("s_name").alias("c1"), F.col("p_name").alias("c2"), vote.alias("vote"), freq.alias("freq"), *ORDER)
+
+    @cached_property
+    def _user_votes(self) -> DataFrame:
+        """The last vote of each user on each object, and the (at most three) frequencies the user gave it."""
+
+        def build():
+            last = F.max_by("vote", F.struct(*ORDER))
+            return self.vote_log.groupBy("user_id", "c1", "c2").agg(last.alias("vote"), F.collect_set("freq").alias("freqs"))
+
+        return self.stored("votes", build, "c1")
 
     @cached_property
     def votes(self) -> DataFrame:
         """The last vote of each user on each object."""
-        last = Window.partitionBy("user_id", "c1", "c2").orderBy(*(F.desc(c) for c in ORDER))
-        return self.vote_log.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("user_id", "c1", "c2", "vote")
+        return self._user_votes.select("user_id", "c1", "c2", "vote")
 
     @cached_property
     def assertions(self) -> DataFrame:
-        """relation, c1, c2, score, freq, value; the five keys are unique."""
+        """relation, c1, c2, score, freq, value; the five keys are unique. Sorted by c1."""
+        return self.stored("assertions", self._derived, "c1")
+
+    @cached_property
+    def by_c2(self) -> DataFrame:
+        """`assertions`, sorted by c2."""
+        return self.stored("assertions_by_c2", lambda: self.assertions, "c2")
+
+    def touching(self, text: str, *, useful: bool = True) -> DataFrame:
+        """Assertions with the concept at either side, a self-loop once; each side reads the table sorted by it."""
+        rows = self.assertions.where(F.col("c1") == text).unionByName(self.by_c2.where((F.col("c2") == text) & (F.col("c1") != text)))
+        return self._useful(rows) if useful else rows
+
+    def _derived(self) -> DataFrame:
         part, nation, customer = self.table("part"), self.table("nation"), self.table("customer")
         name, word = F.col("p_name"), F.split("p_name", " ")
-        capable = self.votes.groupBy("c1", "c2").agg(F.sum("vote").alias("score"))
-        out = capable.select(F.lit("CapableOf").alias("relation"), "c1", "c2", "score", F.lit("").alias("freq"), F.lit(5).alias("value"))
+        votes = self._user_votes
+        scored = votes.groupBy("c1", "c2").agg(F.sum("vote").alias("score"))
+        capable = votes.select("c1", "c2", F.explode("freqs").alias("freq")).distinct().join(scored, ["c1", "c2"])
+        value = F.when(F.col("freq") == "not", -5).when(F.col("freq") == "usually", 8).otherwise(5)
+        out = capable.select(F.lit("CapableOf").alias("relation"), "c1", "c2", "score", "freq", value.alias("value"))
         supplied = self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         living = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         places = nation.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -88,14 +126,21 @@ class Graph:
             out = out.unionByName(edges)
         return out
 
+    @staticmethod
+    def _useful(rows: DataFrame) -> DataFrame:
+        return rows.where((F.col("score") > 0) & ~F.col("c1").isin(HIDDEN) & ~F.col("c2").isin(HIDDEN))
+
     @cached_property
     def useful(self) -> DataFrame:
         """Assertions of positive score between visible concepts."""
-        return self.assertions.where((F.col("score") > 0) & ~F.col("c1").isin(HIDDEN) & ~F.col("c2").isin(HIDDEN))
+        return self._useful(self.assertions)
 
     @cached_property
     def concepts(self) -> DataFrame:
         """text, words, visible and num_assertions: useful assertions that touch it, a self-loop once."""
+        return self.stored("concepts", self._concepts, "text")
+
+    def _concepts(self) -> DataFrame:
         ends = self.assertions.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("text")).distinct()
         touched = self.useful.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
         words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
@@ -103,14 +148,13 @@ class Graph:
 
     @cached_property
     def surfaces(self) -> DataFrame:
-        """surface, concept, use_count: the text itself, with an article, and in capitals."""
-        n = F.col("num_assertions")
-        forms = F.array(
-            F.struct(F.col("text").alias("surface"), n.alias("use_count")),
-            F.struct(F.concat(F.lit("the "), "text").alias("surface"), (n + 1).alias("use_count")),
-            F.struct(F.concat(F.lit("a "), "text").alias("surface"), F.lit(0).cast("long").alias("use_count")),
-        )
-        return self.concepts.select(F.col("text").alias("concept"), F.explode(forms).alias("f")).select("f.surface", "concept", "f.use_count")
+        """surface, concept, use_count: the text itself and with articles; raw assertions that use it, at both sides once."""
+        return self.stored("surfaces", self._surfaces, "concept")
+
+    def _surfaces(self) -> DataFrame:
+        used = self.raws.select(F.explode(F.array_distinct(F.array("surface1", "surface2"))).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
+        forms = self.concepts.select(F.col("text").alias("concept"), F.explode(F.array("text", F.concat(F.lit("the "), "text"), F.concat(F.lit("a "), "text"))).alias("surface"))
+        return forms.join(used, "surface", "left").select("surface", "concept", F.coalesce("n", F.lit(0)).alias("use_count"))
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -120,12 +164,28 @@ class Graph:
     def relations(self) -> DataFrame:
         return self.spark.createDataFrame([(r,) for r in RELATIONS], "name string")
 
+    @cached_property
+    def languages(self) -> DataFrame:
+        """id, name and sentence_count: each raw assertion is worded by one sentence."""
+        n = self.raws.agg(F.count("*").alias("sentence_count"))
+        return n.select(F.lit("en").alias("id"), F.lit("English").alias("name"), "sentence_count")
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        return self.spark.createDataFrame(FREQUENCIES, "text string, value int")
+
     @cached_property
     def raws(self) -> DataFrame:
-        """Each assertion in every frame of its relation and frequency; score falls with goodness."""
+        """Each assertion in every frame of its relation and frequency, with surfaces and creator; score falls with goodness."""
         frames = F.broadcast(self.frames.select("frame_id", "relation", F.col("text").alias("frame"), "goodness", "freq"))
         joined = self.assertions.join(frames, ["relation", "freq"])
-        return joined.select("relation", "c1", "c2", "freq", "value", "frame_id", "frame", "goodness", (F.col("score") + F.col("goodness") - 4).alias("score"), F.col("score").alias("assertion_score"))
+        surface1 = F.when(F.col("frame_id") % 2 == 0, F.concat(F.lit("the "), "c1")).otherwise(F.col("c1"))
+        surface2 = F.when(F.col("frame_id") % 3 == 0, F.concat(F.lit("a "), "c2")).otherwise(F.col("c2"))
+        creator = (F.length("c1") + F.col("frame_id")) % 7
+        return joined.select(
+            "relation", "c1", "c2", "freq", "value", "frame_id", "frame", "goodness", (F.col("score") + F.col("goodness") - 4).alias("score"), F.col("score").alias("assertion_score"),
+            surface1.alias("surface1"), surface2.alias("surface2"), creator.cast("int").alias("creator"),
+        )
 
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"]
@@ -139,12 +199,13 @@ def _values(rows: list[tuple]) -> str:
 #: The same tables for DuckDB.
 SQL = f"""
 WITH vote_log AS (
-  SELECT o_custkey AS user_id, s_name AS c1, p_name AS c2, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS vote, {", ".join(ORDER)}
+  SELECT o_custkey AS user_id, s_name AS c1, p_name AS c2, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS vote, CASE l_returnflag WHEN 'R' THEN 'not' WHEN 'N' THEN 'usually' ELSE '' END AS freq, {", ".join(ORDER)}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 votes AS (
   SELECT user_id, c1, c2, vote FROM (SELECT *, row_number() OVER (PARTITION BY user_id, c1, c2 ORDER BY {", ".join(c + " DESC" for c in ORDER)}) AS rn FROM vote_log) WHERE rn = 1),
 assertions AS (
-  SELECT 'CapableOf' AS relation, c1, c2, CAST(sum(vote) AS BIGINT) AS score, '' AS freq, 5 AS value FROM votes GROUP BY c1, c2
+  SELECT 'CapableOf' AS relation, e.c1, e.c2, score, freq, CASE freq WHEN 'not' THEN -5 WHEN 'usually' THEN 8 ELSE 5 END AS value
+    FROM (SELECT DISTINCT c1, c2, freq FROM vote_log) e JOIN (SELECT c1, c2, CAST(sum(vote) AS BIGINT) AS score FROM votes GROUP BY c1, c2) s ON e.c1 = s.c1 AND e.c2 = s.c2
   UNION ALL SELECT DISTINCT 'IsA', p_name, split_part(p_name, ' ', 2), 1, '', 5 FROM part
   UNION ALL SELECT DISTINCT 'HasProperty', p_name, split_part(p_name, ' ', 1), 2, '', 5 FROM part
   UNION ALL SELECT DISTINCT 'MadeOf', p_name, p_brand, 1, 'usually', 8 FROM part
@@ -152,19 +213,24 @@ assertions AS (
   UNION ALL SELECT DISTINCT 'AtLocation', s_name, n_name, 1, 'sometimes', 4 FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'AtLocation', c_name, n_name, 1, 'sometimes', 4 FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'PartOf', n_name, r_name, 4, 'always', 10 FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT DISTINCT 'HasProperty', c_name, c_mktsegment, 1, 'rarely', 2 FROM customer),
+  UNION ALL SELECT DISTINCT 'HasProperty', c_name, c_mktsegment, 1, 'rarely', -2 FROM customer),
 useful AS (SELECT * FROM assertions WHERE score > 0 AND c1 NOT IN ('{"', '".join(HIDDEN)}') AND c2 NOT IN ('{"', '".join(HIDDEN)}')),
 ends AS (SELECT c1 AS text FROM assertions UNION SELECT c2 FROM assertions),
 touched AS (SELECT text, count(*) AS n FROM (SELECT c1 AS text FROM useful UNION ALL SELECT c2 FROM useful WHERE c1 <> c2) GROUP BY text),
 concepts AS (
   SELECT ends.text, CAST(len(list_filter(regexp_split_to_array(ends.text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS words,
     ends.text NOT IN ('{"', '".join(HIDDEN)}') AS visible, coalesce(n, 0) AS num_assertions FROM ends LEFT JOIN touched ON ends.text = touched.text),
-surfaces AS (
-  SELECT text AS surface, text AS concept, num_assertions AS use_count FROM concepts
-  UNION ALL SELECT 'the ' || text, text, num_assertions + 1 FROM concepts UNION ALL SELECT 'a ' || text, text, 0 FROM concepts),
 frames AS (SELECT * FROM (VALUES {_values(FRAMES)}) AS t(frame_id, relation, text, goodness, freq, question_yn)),
 relations AS (SELECT * FROM (VALUES {_values([(r,) for r in RELATIONS])}) AS t(name)),
 raws AS (
-  SELECT a.relation, c1, c2, a.freq, value, frame_id, f.text AS frame, goodness, score + goodness - 4 AS score, score AS assertion_score
-  FROM assertions a JOIN frames f ON a.relation = f.relation AND a.freq = f.freq)
+  SELECT a.relation, c1, c2, a.freq, value, frame_id, f.text AS frame, goodness, score + goodness - 4 AS score, score AS assertion_score,
+    CASE WHEN frame_id % 2 = 0 THEN 'the ' || c1 ELSE c1 END AS surface1, CASE WHEN frame_id % 3 = 0 THEN 'a ' || c2 ELSE c2 END AS surface2, CAST((length(c1) + frame_id) % 7 AS INTEGER) AS creator
+  FROM assertions a JOIN frames f ON a.relation = f.relation AND a.freq = f.freq),
+uses AS (SELECT s, count(*) AS n FROM (SELECT surface1 AS s FROM raws UNION ALL SELECT surface2 FROM raws WHERE surface1 <> surface2) GROUP BY s),
+surfaces AS (
+  SELECT surface, concept, coalesce(n, 0) AS use_count FROM (
+    SELECT text AS surface, text AS concept FROM concepts UNION ALL SELECT 'the ' || text, text FROM concepts UNION ALL SELECT 'a ' || text, text FROM concepts)
+  LEFT JOIN uses ON s = surface),
+languages AS (SELECT 'en' AS id, 'English' AS name, count(*) AS sentence_count FROM raws),
+frequencies AS (SELECT * FROM (VALUES ('never', -10), ('not', -5), ('rarely', -2), ('occasionally', 2), ('sometimes', 4), ('', 5), ('generally', 6), ('usually', 8), ('almost always', 9), ('always', 10)) AS t(text, value))
 """
