@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.sources.store import folder, written
 
-def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share.
-
-    Only a local session may go without the setting, as in tests; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp())
-    return context.getCheckpointDir()
+__all__ = ["components", "cut", "written"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,13 +16,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As `cut`, but as Parquet, so that readers take only the columns they need."""
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's least node) for every node of `edges` (u, v).
 
