@@ -20,13 +20,14 @@ rows are packed each; without rows there is no piece.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,78 +39,94 @@ END_ID = 2
 #: Penalties in ids of padding, and the spacing of cuts inside long sentences.
 SENTENCE, INSIDE, GRID = 2, 24, 256
 BLOCK = 1 << 20
-CACHE = 1_600_000
+#: Pieces that are kept with their ids, and pieces that are encoded at once.
+CACHE, ENCODED = 400_000, 10_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters that the tokenizer's normal form leaves as they are.
+_LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
 #: The byte-level alphabet: printable bytes stand for themselves, others for code points from 256.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER_OF = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-class Chunks(dict):
-    """Ids, as bytes, of what stands between spaces; the tokenizer never joins over these.
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
 
-    A chunk of Latin letters with marks behind is two pre-tokens, and the letters in lower
-    case are one word for the tokenizer's model. Other chunks are encoded many at a
-    time, joined by spaces, and told apart by their tokens' offsets.
+class Chunks:
+    """Ids of what stands between spaces; the tokenizer never joins over these.
+
+    A slice's distinct chunks are looked up once. A chunk of Latin letters with marks behind is
+    two pre-tokens, its letters in lower case, one word for the tokenizer's model, and its
+    marks. Other new pieces are encoded many at a time, joined by spaces, and told apart by their tokens'
+    offsets. Known pieces are places in one pool of ids, of which numpy gathers a slice's.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer = tokenizer
+        self.clear()
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > CACHE:
-            self.clear()
-        split, other = [], []
-        for c in chunks:
-            core = c.rstrip(_MARKS)
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                split.append((c, core.lower(), c[len(core) :]))
-            else:
-                other.append(c)
-        other += {tail for _, _, tail in split if tail}.difference(self, other)
-        self.encode(other)
-        tokenize, pack = self.model.tokenize, struct.pack
-        for c, core, tail in split:
-            ids = self.get(core)
-            if ids is None:
-                word = core if core.isascii() else "".join([_LETTER_OF[b] for b in core.encode()])
-                found = [t.id for t in tokenize(word)]
-                self[core] = ids = pack(f"<{len(found)}I", *found)
-            self[c] = ids + self[tail] if tail else ids
-
-    def encode(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 10_000):
-            some = chunks[at : at + 10_000]
+    def clear(self) -> None:
+        self.place = {"": 0}
+        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if not pieces:
+            return
+        first = len(self.start)
+        self.place.update(zip(pieces, range(first, first + len(pieces))))
+        begins = np.concatenate(([0], ends[:-1]))
+        self.start = np.concatenate((self.start, begins + len(self.pool)))
+        self.length = np.concatenate((self.length, ends - begins))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(w if w.isascii() else "".join([_LETTER_OF[b] for b in w.encode()]))] for w in words]
+        self._keep(words, np.fromiter(chain.from_iterable(found), "<u4"), np.cumsum([len(f) for f in found], dtype=np.int64))
+        for at in range(0, len(others), ENCODED):
+            some = others[at : at + ENCODED]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(c) + 1 for c in some])
-            data = np.array(found.ids, "<u4").tobytes()
-            cuts = (np.searchsorted([b for b, _ in found.offsets], ends) * 4).tolist()
-            self.update(zip(some, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        out: list[bytes] = []
-        for i in range(0, len(rows), 200):
-            some, found, late = rows[i : i + 200], {}, []
-            for k, row in enumerate(some):
-                try:
-                    found[k] = b"".join(map(self.__getitem__, row))
-                except KeyError:
-                    late.append(k)
-            if late:
-                every = set().union(*[some[k] for k in late])
-                new = every.difference(self)
-                # where the cache is cleared first, all of these are new
-                self.learn(new if len(self) + len(new) <= CACHE else every)
-                for k in late:
-                    found[k] = b"".join(map(self.__getitem__, some[k]))
-            out += [found[k] for k in range(len(some))]
-        return out
+            reach = np.cumsum([len(c) + 1 for c in some])
+            self._keep(some, np.array(found.ids, "<u4"), np.searchsorted([b for b, _ in found.offsets], reach))
+
+    def _places(self, words: pa.Array, others: pa.Array) -> None:
+        """Learns what isn't known yet."""
+        fresh = lambda column: [c for c in _strings(column.unique()) if c not in self.place]
+        new, odd = fresh(words), fresh(others)
+        if len(self.place) + len(new) + len(odd) > CACHE:
+            self.clear()
+            new, odd = fresh(words), fresh(others)
+        self._learn(new, odd)
+
+    def _find(self, column: pa.Array) -> np.ndarray:
+        coded = column.dictionary_encode()
+        return np.array([self.place[c] for c in _strings(coded.dictionary)], np.int64)[coded.indices.to_numpy()]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
+        rows = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = rows.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        lettered = pc.match_substring_regex(pc.utf8_rtrim(chunks, _MARKS), f"^{_LATIN}$")
+        marks = pc.if_else(lettered, pc.replace_substring_regex(chunks, f"^{_LATIN}", ""), "")
+        heads = pc.if_else(lettered, pc.utf8_lower(pc.utf8_rtrim(chunks, _MARKS)), chunks)
+        self._places(heads.filter(lettered), pa.concat_arrays([heads.filter(pc.invert(lettered)), marks]))
+        pieces = np.stack((self._find(heads), self._find(marks)), 1)[coded.indices.to_numpy()].ravel()
+        length = self.length[pieces]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.start[pieces] - ends + length, length) + np.arange(total)
+        offsets = rows.offsets.to_numpy()
+        bounds = np.concatenate(([0], ends))[2 * (offsets - offsets[0])]
+        return self.pool[at], bounds[1:]
 
 
 _KEPT: dict[str, Chunks] = {}  # a worker serves many tasks
@@ -217,17 +234,18 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE) -> DataFrame:
         tokenizer = chunks.tokenizer
         enders = np.array([tokenizer.token_to_id(t) for t in (".</w>", "!</w>", "?</w>") if tokenizer.token_to_id(t) is not None])
         packer = Packer(size, enders, TaskContext.get().partitionId() << 32)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         names = [c.split()[0] for c in _PIECES.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
         for batch in tx.slices(batches, "text"):
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), chunks.ids(texts)):
-                rows += packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            rows, begin = [], 0
+            ids, bounds = chunks.ids(batch.column(1).cast(pa.string()))
+            for doc_id, to in zip(batch.column(0).to_pylist(), bounds.tolist()):
+                rows += packer.add(doc_id, np.concatenate((ids[begin:to], end)))
+                begin = to
             if rows:
                 yield batch_of(rows)
         if rows := list(packer.flush(True)):
