@@ -97,9 +97,12 @@ def lemma_factor(text: Column) -> Column:
 def extracted_concepts(text: Column, longest: int = 3) -> Column:
     """Distinct normal forms of all runs of up to `longest` content words."""
     words = F.transform(F.filter(tokens(text), lambda w: ~is_stopword(w)), lemma)
-    runs = [F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]
-    kept = [F.when(F.size(words) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
-    return F.array_sort(F.array_distinct(F.concat(*kept)))
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_distinct(F.concat(*map(runs, range(1, longest + 1)))))
 
 
 def all_known(text: Column, known: list[str]) -> Column:

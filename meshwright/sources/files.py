@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.sources import store
 
-CSV = {"header": True, "emptyValue": "", "nullValue": "\\N", "escape": '"'}
+CSV = {"header": True, "nullValue": "\\N", "escape": '"'}
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
