@@ -15,8 +15,9 @@ right links; frequent n-grams at its end keep shared passages out of the prefixe
    n-gram there. A bucket (the nodes that share one) first pairs the node that shares
    most of its prefix with the others. Sizes, places and the overlap within the prefixes
    bound a pair's whole overlap, which rules out most pairs.
-3. For the pairs left, the order is cut into FRAGMENTS; partial overlaps are counted in
-   each fragment separately and summed per pair, and the sum decides the link.
+3. For the pairs left, the order is cut into FRAGMENTS, the listed n-grams being the last one;
+   partial overlaps are counted in each fragment separately and summed per pair, and the
+   sum decides the link.
 4. Components of these links are found; buckets that still hold several components
    then pair all nodes of different components, so no link between components is
    missed, and step 3 decides on them. Pairs within a component needn't be made.
@@ -57,6 +58,8 @@ class WordHash(dict):
 
 
 _HASHES = WordHash()
+#: An empty list of the order's end.
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -215,8 +218,17 @@ def plausible(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ga", "gb")) + F.ceil(rest) - 1 >= _needed(percent)).select("a", "na", "b", "nb")
 
 
-def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """a, na, b, nb and the overlap of each pair: partial overlaps by fragment, summed."""
+def fragments_of(grams: np.ndarray, end: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """A set cut along the global order: equal stretches of its unlisted n-grams by hash, then the listed ones."""
+    listed = ranks(grams, *end) > 0
+    first = grams[~listed]
+    bounds = [np.uint64(i * (2**64 // (FRAGMENTS - 1))) for i in range(1, FRAGMENTS - 1)]
+    return [*np.split(first, np.searchsorted(first, bounds)), grams[listed]]
+
+
+def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, end: tuple[np.ndarray, np.ndarray] = _NONE) -> DataFrame:
+    """a, na, b, nb and the overlap of each pair: partial overlaps by fragment of the global order, summed."""
+    shared = docs.sparkSession.sparkContext.broadcast(end)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     owners = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node").select("doc_id", F.col("node").alias("want"))
     texts = _rows(docs).join(owners, "doc_id").select("want", "text")
@@ -227,8 +239,7 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) ->
             for want, s in zip(batch.column(0).to_pylist(), shingle_sets(tx.byte_texts(batch.column(1)), size)):
                 if node_of(s) != want:
                     continue  # another row with this doc_id
-                cuts = np.searchsorted(s, [np.uint64(i * (2**64 // FRAGMENTS)) for i in range(1, FRAGMENTS)])
-                for i, part in enumerate(np.split(s, cuts)):
+                for i, part in enumerate(fragments_of(s, shared.value)):
                     if len(part):
                         nodes_.append(want)
                         parts.append(i)
@@ -260,7 +271,7 @@ def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int
     lead = lead.select("gram", F.col("p.node").alias("a"), *(F.col(f"p.{c}").alias(c + "a") for c in ("n", "h", "i")))
     pairs = side("b").join(lead, "gram").where("a <> b").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
     pairs = cut(plausible(pairs, buckets, percent))
-    first = cut(_linked(overlaps(docs, nodes, pairs, size), percent))
+    first = cut(_linked(overlaps(docs, nodes, pairs, size, end), percent))
     roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.withColumns({"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram)}).where("low <> high")
@@ -270,7 +281,7 @@ def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int
     # a pair of step 2 may come in either order
     done = pairs.select("a", "b").union(pairs.select("b", "a"))
     across = cut(plausible(across.join(done, ["a", "b"], "left_anti"), buckets, percent))
-    second = _linked(overlaps(docs, nodes, across, size), percent)
+    second = _linked(overlaps(docs, nodes, across, size, end), percent)
     return cut(first.unionByName(second))
 
 
