@@ -18,8 +18,9 @@ those.
 
 The codebook is fitted on at most FIT_ROWS rows chosen by a hash of their id; every row
 is indexed. Defined cases: vectors that are null, zero, or hold a null or non-finite
-component take no part, nor do those whose dimension isn't the commonest one; a null
-vec_id takes no part; of rows with equal ids each is a candidate.
+component take no part; vectors of another dimension than a query's aren't its candidates; a null
+vec_id takes no part; of rows with equal ids each is a candidate of other ids' queries; a
+query that stands several times with one vector is asked once, with different vectors once each.
 """
 
 from __future__ import annotations
@@ -120,9 +121,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     """vec_id and the vector as doubles, without rows that take no part."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0].d if sizes else 0))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -143,10 +142,10 @@ def _best(book: Codebook, rows: pa.Table, queries: pa.Table, k: int) -> Iterator
     begin = np.concatenate(([0], np.cumsum(size)))[:-1]
     bytes_of = np.ascontiguousarray(codes[first].T).astype(np.intp)
     kept = min(len(first), max(RERANK, 4 * k))
-    q_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"])
+    q_ids, q_keys, q = queries["vec_id"].to_numpy(), queries["qkey"].to_numpy(), _matrix(queries["v"])
     out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(q), 256):
-        for q_id, query, table in zip(q_ids[at : at + 256], q[at : at + 256], book.tables(q[at : at + 256])):
+        for q_id, q_key, query, table in zip(q_ids[at : at + 256], q_keys[at : at + 256], q[at : at + 256], book.tables(q[at : at + 256])):
             near = table[0][bytes_of[0]]
             for t, b in zip(table[1:], bytes_of[1:]):
                 near += t[b]
@@ -161,7 +160,7 @@ def _best(book: Codebook, rows: pa.Table, queries: pa.Table, k: int) -> Iterator
             other = ids[got] != q_id
             got, score = ids[got][other], score[other]
             best = np.lexsort((got, -score))[:k]
-            out.append((np.full(len(best), q_id), got[best], score[best]))
+            out.append((np.full(len(best), q_id), np.full(len(best), q_key), got[best], score[best]))
         if sum(len(o[0]) for o in out) > 100_000:
             yield _found(out)
             out = []
@@ -170,8 +169,8 @@ def _best(book: Codebook, rows: pa.Table, queries: pa.Table, k: int) -> Iterator
 
 
 def _found(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    a, b, c = (np.concatenate(x) for x in zip(*out))
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+    a, b, c, d = (np.concatenate(x) for x in zip(*out))
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "qkey", "vec_id", "score"])
 
 
 def fit(rows: DataFrame, n: int) -> Codebook | None:
@@ -181,13 +180,23 @@ def fit(rows: DataFrame, n: int) -> Codebook | None:
 
 
 def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of every row for which `is_query` holds."""
+    """query_id, rank, vec_id and score of the k nearest found of every row for which `is_query` holds.
+
+    Vectors of different dimensions have no inner product: each dimension is searched by itself.
+    """
     spark = rows.sparkSession
     known = vectors(rows)
-    n = known.count()
-    book = fit(known, n) if n else None
-    if book is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in known.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():
+        out = out.unionByName(_search(known.where(F.size("v") == row.d), row.n, is_query, k))
+    return out
+
+
+def _search(known: DataFrame, n: int, is_query, k: int) -> DataFrame:
+    spark = known.sparkSession
+    book = fit(known, n)
+    if book is None:  # the hash chose none of a few rows
+        book = Codebook(np.unique(_matrix(known.select("v").limit(2 * FIT_ROWS).toArrow()["v"]), axis=0))
     shared = spark.sparkContext.broadcast(book)
     row_blocks, query_blocks = math.ceil(n / ROWS), math.ceil(n / QUERIES / 16)
 
@@ -204,14 +213,14 @@ def search(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     block = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = known.mapInArrow(encoded, "vec_id long, v array<double>, code binary").withColumn("rb", block("row", row_blocks)).withColumn("qb", each(query_blocks))
-    asked = known.where(is_query).withColumn("qb", block("query", query_blocks)).withColumn("rb", each(row_blocks))
-    found = dealt.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(lambda a, b: _one(near(a, b)), "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = known.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("qkey", F.xxhash64("v")).withColumn("qb", block("query", query_blocks)).withColumn("rb", each(row_blocks))
+    found = dealt.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(lambda a, b: _one(near(a, b)), "query_id long, qkey long, vec_id long, score double")
+    by_query = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _one(batches: Iterator[pa.RecordBatch]) -> pa.Table:
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("qkey", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     return pa.Table.from_batches(list(batches), schema)
 
 
