@@ -7,8 +7,8 @@ landmark texts and one-versus-rest kernel ridge regression give one weight per
 landmark and language; scoring is a batched matrix product of presence rows with
 the landmarks' rows.
 
-The fit uses at most TRAIN_ROWS labelled rows, spread evenly over the languages
-and chosen by a hash of doc_id, and LANDMARKS of these.
+The fit uses about TRAIN_ROWS labelled rows, 2 * TRAIN_ROWS at most, spread evenly over all
+languages and chosen by a hash of doc_id, and LANDMARKS of these, one of each language at least.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without
 labelled rows everything is `und`; rows with a null doc_id aren't held out; repeated
@@ -17,22 +17,19 @@ rows each get their own row.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import cut
 
 DIM = 1 << 14
 TRAIN_ROWS = 3000
 LANDMARKS = 120
 RIDGE = 1e-3
-LANGUAGES = 64
 BLOCK = 128
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters count as spaces.
 _FOLD = bytes(0x20 if b < 0x80 and not chr(b).isalpha() else b for b in range(256))
 
@@ -55,7 +52,8 @@ def presence(texts: list[str], out: np.ndarray | None = None) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """A character of Unicode's category L; digits and number signs aren't."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 class Model:
@@ -97,13 +95,13 @@ def _clean(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """A model of the labelled rows that aren't held out; None without any."""
     labelled = _clean(docs).where("not held_out and lang is not null and text is not null")
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not found:
+    shares = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = shares.count()
+    if not languages:
         return None
-    each = rows / len(found)
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r.lang, min(1.0, each / r["count"])).otherwise(share)
+    # every language has a share of the rows, a row each at least
+    shares = shares.select("lang", (F.lit(max(1.0, rows / languages)) / F.col("n")).alias("share"))
+    labelled = labelled.join(shares, "lang")
     place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
@@ -112,7 +110,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
             bits = [np.packbits(presence([t])[0].astype(np.uint8)).tobytes() for t, _ in kept]
             yield pa.record_batch([pa.array(bits, pa.binary()), pa.array([n for _, n in kept], pa.string())], names=["bits", "lang"])
 
-    sample = labelled.where(place < share).select("text", "lang").mapInArrow(run, "bits binary, lang string")
+    sample = labelled.where(place < F.col("share")).select("text", "lang").mapInArrow(run, "bits binary, lang string")
     got = sorted((r.lang, bytes(r.bits)) for r in sample.limit(2 * rows).collect())
     if not got:
         return None
