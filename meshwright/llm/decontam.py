@@ -39,14 +39,15 @@ def item_windows(text: bytes | None, width: int) -> set[bytes]:
     return {b" %b " % b" ".join(words[i : i + width]) for i in range(last + 1)}
 
 
-def automaton(items: list[tuple[str, bytes | None]], width: int) -> ahocorasick.Automaton:
-    owners: dict[bytes, set[str]] = defaultdict(set)
+def automaton(items: list[tuple[str | None, bytes | None]], width: int) -> ahocorasick.Automaton:
+    """Windows with their sizes and items; one of items without an id has hits, but no items."""
+    owners: dict[bytes, set[str | None]] = defaultdict(set)
     for item, text in items:
         for window in item_windows(text, width):
             owners[window].add(item)
     found = ahocorasick.Automaton()
     for window, names in owners.items():
-        found.add_word(window.decode("latin-1"), (window.count(b" ") - 1, tuple(sorted(names))))
+        found.add_word(window.decode("latin-1"), (window.count(b" ") - 1, tuple(sorted(n for n in names if n is not None))))
     if len(found):
         found.make_automaton()
     return found
@@ -82,7 +83,7 @@ def shards(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
     """Benchmark items as lists of at most SHARD_BYTES of text, or of one longer item."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    for row in rows.where("i is not null").toLocalIterator():
+    for row in rows.toLocalIterator():
         data = (row.t or "").encode()
         if held and size + len(data) > SHARD_BYTES:
             yield held
