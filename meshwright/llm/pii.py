@@ -16,7 +16,9 @@ time in proportion to the text, even where the text is one run of digits.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +96,18 @@ def _score(kind: str, text: str, begin: int, end: int, checked: bool) -> float:
     return min(1.0, _PRIOR[kind] + 0.3 * checked + 0.3 * bool(_NEAR[kind].search(near)))
 
 
+def _overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch meets any of the spans: of those that begin before its end, one reaches beyond its start."""
+    order = sorted(spans)
+    begins, reach = [b for b, _ in order], list(accumulate((e for _, e in order), max))
+
+    def meets(begin: int, end: int) -> bool:
+        k = bisect_left(begins, end)
+        return k > 0 and reach[k - 1] > begin
+
+    return meets
+
+
 def find(text: str) -> list[Span]:
     """(kind, start, end, score), by kind as in KINDS and then by start."""
     if not text:
@@ -110,7 +124,8 @@ def find(text: str) -> list[Span]:
     out = [(k, b, e, _score(k, text, b, e, k == "card")) for k in BASE_KINDS for b, e in base[k]]
     taken = [x[1:3] for x in out]
     for kind, spans in added.items():
-        fresh = [(b, e) for b, e in spans if not any(b < y and x < e for x, y in taken)]
+        meets = _overlaps(taken)
+        fresh = [(b, e) for b, e in spans if not meets(b, e)]
         scored = [(kind, b, e, _score(kind, text, b, e, kind == "iban")) for b, e in fresh]
         out += [x for x in scored if x[3] >= ACCEPT]
         taken += fresh
