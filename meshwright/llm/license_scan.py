@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,7 +147,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 words = (text or b"").translate(tx.FOLD_WORDS).split()
                 line = b" %b " % b" ".join(words)
                 counts.append(len(words))
-                base.append([{"label": label, "word": line.count(b" ", 0, p), "score": 1.0} for phrase, label in PHRASES for p in _places(line, phrase)])
+                places = [(label, p) for phrase, label in PHRASES for p in _places(line, phrase)]
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20) if places else ()
+                at = np.searchsorted(spaces, [p for _, p in places]).tolist() if places else []
+                base.append([{"label": label, "word": n, "score": 1.0} for (label, _), n in zip(places, at)])
                 found.append([{"label": a, "word": b, "score": c} for a, b, c in notices(words, line, rarest)])
             return pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(base, kinds), pa.array(found, kinds)], names=["doc_id", "n_words", "base", "notices"])
 
