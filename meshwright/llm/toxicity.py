@@ -24,6 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,9 @@ class Scorer(dict):
 
     def __init__(self, terms: dict[str, float], model: np.ndarray):
         super().__init__()
-        self.terms, self.model = terms, model
+        # a list of floats is read faster than an array, one at a time
+        self.terms, self.model = terms, model.tolist()
+        self.longest = max(map(len, terms), default=0)
         self.shapes = {_skeleton(t.rstrip("*")) for t in terms}
         self.open = tuple(x for x in self.shapes if len(x) < 2)
 
@@ -239,8 +242,10 @@ class Scorer(dict):
     def spelled(self, letters: str) -> float:
         """Of single characters in a row: the strongest term anywhere in what they spell."""
         text = restore(letters, self.model)
-        best = max((self.word(text[i:]) for i in range(len(text))), default=0.0)
-        return max([best, *(self.terms.get(text[i:j], 0.0) for i in range(len(text)) for j in range(i + 3, min(len(text), i + 16) + 1))])
+        # terms are bounded in length, so every place has a bounded number of them
+        whole = (text[i:j] for i in range(len(text)) for j in range(i + 1, min(len(text), i + self.longest) + 1))
+        begun = (text[i : i + n] + "*" for i in range(len(text)) for n in PREFIXES if i + n <= len(text))
+        return max((self.terms.get(f, 0.0) for f in chain(whole, begun)), default=0.0)
 
     def score(self, text: str, rate: float) -> float:
         tokens = text.lower().split()
