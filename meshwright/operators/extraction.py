@@ -405,3 +405,9 @@ def tag_probabilities(tagged: DataFrame) -> DataFrame:
     kept = pairs.where(~F.col("tag").isin("RB", "MD", "DO"))
     total = kept.agg(F.count("*").alias("total"))
     return kept.groupBy("word", "tag").agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("word", "tag", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def loaded(sentences: DataFrame, user_id: int = 0, at: int = 0) -> DataFrame:
+    """What the sentences say, as statements to write with `writes.state`; equal texts are left out."""
+    rows = statements(sentences).where("text1 is not null and text2 is not null and text1 <> text2")
+    return rows.select(F.lit(user_id).cast("long").alias("user_id"), "relation", "freq", "frame", "text1", "text2", F.lit(1).alias("vote"), F.lit(at).cast("long").alias("at"))

@@ -114,3 +114,15 @@ def top_groups(g: Graph, text: str) -> DataFrame:
     """direction, relation and size of the groups of a concept's assertions of positive score, all counted."""
     here = g.touching(text, useful=False).where("score > 0")
     return here.groupBy(F.when(F.col("c1") == text, "forward").otherwise("reverse").alias("direction"), "relation").agg(F.count("*").alias("size"))
+
+
+def top_surfaces(g: Graph, text: str, limit: int = 50) -> DataFrame:
+    """As `top_by_feature`, of the assertions that have a best raw, with the other side's surface and the frequency's text."""
+    keys = ["relation", "c1", "c2", "freq"]
+    best = best_raw(g).where((F.col("c1") == text) | (F.col("c2") == text)).select(*keys, "surface1", "surface2")
+    here = g.touching(text, useful=False).where("score > 0").join(best, keys)
+    forward = F.col("c1") == text
+    here = here.withColumns({"direction": F.when(forward, "forward").otherwise("reverse"), "surface": F.when(forward, F.col("surface2")).otherwise(F.col("surface1"))})
+    group = Window.partitionBy("direction", "relation")
+    ranked = here.withColumns({"rank": F.row_number().over(group.orderBy(F.desc("score"), "c1", "c2", "freq")), "size": F.count(F.lit(1)).over(group)})
+    return ranked.where(F.col("rank") <= limit).select("direction", "relation", "rank", "surface", "freq", (F.col("value") > 0).alias("positive"), "score", "size")

@@ -52,3 +52,21 @@ def placeholder_users(g: Graph) -> DataFrame:
     """Everyone who orders or acts, once, with a placeholder name."""
     ids = g.table("orders").select(F.col("o_custkey").alias("user_id")).union(g.table("events").select("user_id")).distinct()
     return ids.select("user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"))
+
+
+def linked_uniquely(rows: DataFrame, objects: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`rows` with the one object of equal keys in `name` and a status: linked, none or ambiguous (and then no link)."""
+    found = objects.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(name).alias("__one"))
+    n = F.coalesce("__n", F.lit(0))
+    status = F.when(n == 1, "linked").when(n == 0, "none").otherwise("ambiguous")
+    return rows.join(found, keys, "left").select(*rows.columns, F.when(n == 1, F.col("__one")).alias(name), status.alias("status"))
+
+
+def with_creators(rows: DataFrame, votes: DataFrame, ghost: str = "_ghost", silent: str = "verbosity") -> tuple[DataFrame, DataFrame]:
+    """Sentences (id, creator) with a creator each, and votes (id, user, vote) with the creators' own.
+
+    A missing creator becomes `ghost`; a creator who hasn't voted votes 1, but for `silent`.
+    """
+    named = rows.withColumn("creator", F.coalesce("creator", F.lit(ghost)))
+    own = named.where(F.col("creator") != silent).select("id", F.col("creator").alias("user"), F.lit(1).alias("vote"))
+    return named, votes.select("id", "user", "vote").unionByName(own.join(votes.select("id", "user"), ["id", "user"], "left_anti"))

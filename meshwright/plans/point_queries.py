@@ -258,6 +258,14 @@ def _(g):
     return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "direction", "relation")))
 
 
+@query("agg_top_surfaces", _BEST + """, h AS (SELECT a.*, CASE WHEN a.c1 = 'EUROPE' THEN 'forward' ELSE 'reverse' END AS direction, CASE WHEN a.c1 = 'EUROPE' THEN surface2 ELSE surface1 END AS surface
+  FROM assertions a JOIN best b ON a.relation = b.relation AND a.c1 = b.c1 AND a.c2 = b.c2 AND a.freq = b.freq WHERE a.score > 0 AND (a.c1 = 'EUROPE' OR a.c2 = 'EUROPE')),
+r AS (SELECT *, row_number() OVER (PARTITION BY direction, relation ORDER BY score DESC, c1, c2, freq) AS rank, count(*) OVER (PARTITION BY direction, relation) AS size FROM h)
+SELECT direction, relation, CAST(rank AS INTEGER) AS rank, surface, freq, value > 0 AS positive, score, size FROM r WHERE rank <= 50""")
+def _(g):
+    return lookups.top_surfaces(g, "EUROPE")
+
+
 # Scalar functions
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshwright.operators import writes
+from meshwright.operators import extraction, maintenance, writes
 from meshwright.plans.base import query
 
 
@@ -109,3 +109,27 @@ UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), CAST(sum(vote) AS BIGINT) FRO
 def _(g):
     each = F.array(F.struct(F.lit("assertion").alias("kind"), F.concat_ws("|", "c1", "c2").alias("object")), F.struct(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("object")))
     return g.votes.select(F.explode(each).alias("o"), "vote").groupBy("o.kind", "o.object").agg(F.sum("vote").alias("score"))
+
+
+@query("wrt_unique_link_rows", """, n AS (SELECT c1, c2, count(*) AS n, min(relation) AS relation FROM assertions GROUP BY c1, c2), r AS (SELECT DISTINCT c1, c2 FROM votes UNION SELECT 'nowhere', 'EUROPE')
+SELECT r.c1, r.c2, CASE WHEN n = 1 THEN relation END AS relation, CASE WHEN n = 1 THEN 'linked' WHEN n IS NULL THEN 'none' ELSE 'ambiguous' END AS status FROM r LEFT JOIN n ON r.c1 = n.c1 AND r.c2 = n.c2""")
+def _(g):
+    rows = g.votes.select("c1", "c2").unionByName(g.spark.createDataFrame([("nowhere", "EUROPE")], "c1 string, c2 string")).distinct()
+    return maintenance.linked_uniquely(rows, g.assertions.select("c1", "c2", "relation"), ["c1", "c2"], "relation")
+
+
+@query("wrt_creator_votes", """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN '_ghost' WHEN o_custkey % 10 = 1 THEN 'verbosity' ELSE 'u' || o_custkey END AS creator FROM orders),
+v AS (SELECT o_orderkey AS id, 'u' || o_custkey AS "user", -1 AS vote FROM orders WHERE o_orderkey % 3 = 0)
+SELECT * FROM v UNION ALL SELECT id, creator, 1 FROM o WHERE creator <> 'verbosity' AND (id, creator) NOT IN (SELECT id, "user" FROM v)""", graph=False)
+def _(g):
+    key = F.col("o_custkey")
+    name = F.concat(F.lit("u"), key.cast("string"))
+    rows = g.table("orders").select(F.col("o_orderkey").alias("id"), F.when(key % 10 == 0, None).when(key % 10 == 1, "verbosity").otherwise(name).alias("creator"))
+    votes = g.table("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), name.alias("user"), F.lit(-1).alias("vote"))
+    return maintenance.with_creators(rows, votes)[1]
+
+
+@query("txt_loaded_assertions")
+def _(g):
+    sentences = g.raws.where("relation in ('PartOf', 'IsA') and goodness >= 4").select(F.concat("surface1", F.when(F.col("relation") == "IsA", F.lit(" is a kind of ")).otherwise(F.lit(" is part of ")), "surface2").alias("sentence"))
+    return writes.assertions(writes.state(writes.empty(g.spark), extraction.loaded(sentences)))
