@@ -134,6 +134,8 @@ ADVP1 -> RB [0.25] | RB ADVP [0.25] | MD ADVP [0.25] | DO ADVP [0.25]
 ADVP2 -> [0.9] | RB [0.075] | RB ADVP2 [0.025]
 """
 LEAST = 1e-55
+#: Longer sentences aren't read; a reading's parts have six words at most to be kept.
+MOST_WORDS = 30
 
 #: Closed classes, and words whose likeliest tags their endings don't tell: tag, then words.
 LEXICON = """
@@ -214,43 +216,47 @@ def _lexicon() -> dict[str, list[str]]:
 
 
 class Parser:
-    """Rules as two-symbol steps: a step's state is the part of a right side that is done."""
+    """Rules as two-symbol steps: a node is a right side of which a part is done."""
 
     def __init__(self):
-        self.begins = defaultdict(list)  # first symbol: states
-        self.goes = defaultdict(list)  # (state, next symbol): states
-        self.ends = defaultdict(list)  # state: (symbol, weight)
+        self.begins = defaultdict(list)  # symbol: the nodes that it takes from nothing to one
+        self.wants: list = []  # node: the symbol that it goes on with; None once it is done
+        self.makes: list = []  # node that is done: its left side and weight
+        self.at: list[int] = []  # node: how many symbols are done
         self.empty: dict[str, float] = {}
-        rules = _productions()
         self.patterns = _patterns()
-        for left, right, weight in rules:
+        for left, right, weight in _productions():
             if right:
                 self._add(left, right, weight)
             else:
                 self.empty[left] = weight
+        self.first_pattern = len(self.wants)
         for k, (weight, _, parts) in enumerate(self.patterns):
-            self._add(("pattern", k), [_symbol(p) for p in parts], weight)
+            self._add(k, [_symbol(p) for p in parts], weight)
 
-    def _add(self, left, right: list[str], weight: float) -> None:
-        state = (left, *right)
-        for i in range(len(right)):
-            self.begins[right[i]].append((state, i)) if all(s in self.empty or s in _NULLABLE for s in right[:i]) else None
-        self.ends[state].append((left, weight))
+    def _add(self, left: str | int, right: list[str], weight: float) -> None:
+        self.begins[right[0]].append(len(self.wants))
+        for i in range(1, len(right) + 1):  # a node's successor is the next one
+            self.wants.append(right[i] if i < len(right) else None)
+            self.makes.append((left, weight) if i == len(right) else None)
+            self.at.append(i)
 
     def parse(self, words: list[str]) -> tuple[float, int, dict] | None:
         """Probability, pattern number and the span of each part of the best full reading."""
-        n = len(words)
+        n, count = len(words), 0
         agenda: list = []
         best: dict = {}
         back: dict = {}
-        done_from, done_to = defaultdict(list), defaultdict(list)
+        waiting, found_from = defaultdict(list), defaultdict(list)
 
         def offer(p: float, item: tuple, how) -> None:
+            nonlocal count
             if p > LEAST and p > best.get(item, 0.0):
-                best[item] = p
-                back[item] = how
-                heapq.heappush(agenda, (-p, str(item), item))
+                best[item], back[item] = p, how
+                count += 1
+                heapq.heappush(agenda, (-p, count, item))
 
+        # items are (symbol, from, to) and (-1 - node, from, to); whole readings of a pattern are (k, 0, n)
         for i, word in enumerate(words):
             offer(1.0, (word.lower(), i, i + 1), None)
             found = tags(word, i == 0)
@@ -263,32 +269,29 @@ class Parser:
         closed = set()
         while agenda:
             p, _, item = heapq.heappop(agenda)
-            p = -p
             if item in closed:
                 continue
             closed.add(item)
             head, i, j = item
-            if isinstance(head, tuple) and head[0] == "state":
-                _, state, at = head
-                if at == len(state) - 1:
-                    for left, w in self.ends[state]:
-                        offer(p * w, (left, i, j), item)
-                else:
-                    done_to[state[at + 1], j].append(item)
-                    for q in done_from[state[at + 1], j]:
-                        offer(p * best[q], (("state", state, at + 1), i, q[2]), (item, q))
-                continue
-            if isinstance(head, tuple):
+            p = -p
+            if isinstance(head, str):
+                found_from[head, i].append((item, p))
+                for node in self.begins.get(head, ()):
+                    if not i or node < self.first_pattern:  # patterns begin at the first word
+                        offer(p, (-1 - node, i, j), (None, item))
+                for other, q in waiting[head, i]:
+                    offer(p * q, (other[0] - 1, other[1], j), (other, item))
+            elif head >= 0:
                 if i == 0 and j == n:
-                    return p, head[1], self._spans(item, back)
-                continue
-            done_from[head, i].append(item)
-            for state, at in self.begins[head]:
-                if at == 0:
-                    offer(p, (("state", state, 1), i, j), (None, item))
-            for other in done_to[head, i]:
-                _, state, at = other[0]
-                offer(best[other] * p, (("state", state, at + 1), other[1], j), (other, item))
+                    return p, head, self._spans(item, back)
+            elif (symbol := self.wants[-1 - head]) is None:
+                left, w = self.makes[-1 - head]
+                if isinstance(left, str) or (i == 0 and j == n):
+                    offer(p * w, (left, i, j), item)
+            else:
+                waiting[symbol, j].append((item, p))
+                for other, q in found_from[symbol, j]:
+                    offer(p * q, (head - 1, i, other[2]), (item, other))
         return None
 
     def _spans(self, item: tuple, back: dict) -> dict[int, tuple[int, int]]:
@@ -296,20 +299,17 @@ class Parser:
         spans, step = {}, back[item]
         while step is not None:
             before, part = back[step]
-            spans[step[0][2] - 1] = (part[1], part[2])
+            spans[self.at[-1 - step[0]] - 1] = (part[1], part[2])
             step = before
         return spans
 
 
-_NULLABLE = {"POST", "ADVP", "ADVP2"}
-
-
 def tokenize(sentence: str) -> list[str]:
     """Words, marks, and what an apostrophe begins, each on its own."""
     text = sentence.split(". ")[0].strip("?!.")
     text = re.sub(r"(\w)(n't)\b", r"\1 \2", text)
     text = re.sub(r"('(?:s|re|m|ve|ll|d))\b", r" \1", text)
-    return re.findall(r"n't|'\w+|[\w$-]+(?:'\w+)?|[^\w\s]", text)
+    return re.findall(r"n't|'\w+|[\w$#-]+(?:'\w+)?|[^\w\s]", text)
 
 
 def untokenize(words: list[str]) -> str:
@@ -328,7 +328,7 @@ def parser() -> Parser:
 
 def parse_sentence(sentence: str | None) -> tuple:
     words = tokenize(sentence or "")
-    found = parser().parse(words) if 0 < len(words) <= 60 else None
+    found = parser().parse(words) if 0 < len(words) <= MOST_WORDS else None
     if found is None:
         return sentence, None, None, None, None, None, None
     p, k, spans = found
@@ -344,7 +344,7 @@ def parse_sentence(sentence: str | None) -> tuple:
 
 
 def parsed(sentences: DataFrame) -> DataFrame:
-    """The best reading of each `sentence`; null beyond 60 words or without one."""
+    """The best reading of each `sentence`; null beyond MOST_WORDS words or without one."""
 
     def run(batches):
         names = [c.split()[0] for c in _PARSED.split(", ")]
