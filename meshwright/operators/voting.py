@@ -40,3 +40,14 @@ def relation_distribution(g: Graph) -> DataFrame:
 def without_users(votes: DataFrame, suspects: DataFrame) -> DataFrame:
     """Votes without those of the listed users."""
     return votes.join(suspects, "user_id", "left_anti")
+
+
+def moved_votes(votes: DataFrame, column: str, old: str, new: str, keys: list[str]) -> DataFrame:
+    """Votes with `old` renamed to `new` in a key; of a user's votes that then meet, the one that was there stays."""
+    moved = votes.withColumns({"own": F.col(column) != old, column: F.when(F.col(column) == old, new).otherwise(F.col(column))})
+    return moved.groupBy("user_id", *keys).agg(F.max_by("vote", "own").alias("vote"))
+
+
+def upvoters(votes: DataFrame, where) -> DataFrame:
+    """Users with a vote of 1 on an object that the condition names."""
+    return votes.where(where).where("vote = 1").select("user_id").distinct()

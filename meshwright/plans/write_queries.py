@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshwright.operators import extraction, maintenance, writes
+from meshwright.functions import scalars as fn
+from meshwright.operators import extraction, maintenance, traversal, voting, writes
 from meshwright.plans.base import query
 
 
@@ -133,3 +134,44 @@ def _(g):
 def _(g):
     sentences = g.raws.where("relation in ('PartOf', 'IsA') and goodness >= 4").select(F.concat("surface1", F.when(F.col("relation") == "IsA", F.lit(" is a kind of ")).otherwise(F.lit(" is part of ")), "surface2").alias("sentence"))
     return writes.assertions(writes.state(writes.empty(g.spark), extraction.loaded(sentences)))
+
+
+@query("wrt_move_votes", """, m AS (SELECT user_id, CASE WHEN c1 = 'Supplier#000000001' THEN 'Supplier#000000002' ELSE c1 END AS c1, c2, vote, c1 <> 'Supplier#000000001' AS own FROM votes),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, c1, c2 ORDER BY own DESC) AS rn FROM m) SELECT c1, c2, CAST(sum(vote) AS BIGINT) AS score, count(*) AS n_votes FROM k WHERE rn = 1 GROUP BY c1, c2""")
+def _(g):
+    return voting.scores(voting.moved_votes(g.votes, "c1", "Supplier#000000001", "Supplier#000000002", ["c1", "c2"]), ["c1", "c2"])
+
+
+@query("wrt_without_upvoters", " SELECT c1, c2, CAST(sum(vote) AS BIGINT) AS score, count(vote) AS n_votes FROM votes WHERE user_id NOT IN (SELECT user_id FROM votes WHERE c1 = 'Supplier#000000001' AND vote = 1) GROUP BY c1, c2")
+def _(g):
+    gone = voting.upvoters(g.votes, F.col("c1") == "Supplier#000000001")
+    return voting.scores(voting.without_users(g.votes, gone), ["c1", "c2"])
+
+
+@query("srt_latest_events", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20", graph=False)
+def _(g):
+    return g.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "event_type")
+
+
+@query("agg_score_merge", ", s AS (SELECT c2, least(greatest(score, 0), 9) / 10.0 AS p FROM useful) SELECT c2, round(1 - exp(sum(ln(1 - p))), 6) AS merged FROM s GROUP BY c2")
+def _(g):
+    p = F.least(F.greatest(F.col("score"), F.lit(0)), F.lit(9)) / 10
+    return g.useful.select("c2", p.alias("p")).groupBy("c2").agg(F.round(traversal.probabilistic_or(F.col("p")), 6).alias("merged"))
+
+
+@query("fn_stray_spaces", " SELECT ' ' || surface AS surface, trim(' ' || surface) AS clean FROM surfaces")
+def _(g):
+    spaced = F.concat(F.lit(" "), "surface")
+    return g.surfaces.select(spaced.alias("surface"), fn.stripped(spaced).alias("clean"))
+
+
+@query("flt_visibility", " SELECT text, text NOT IN ('HOUSEHOLD', 'ECONOMY') AS visible FROM concepts")
+def _(g):
+    blocked = g.spark.createDataFrame([("HOUSEHOLD",), ("ECONOMY",)], "text string").withColumn("blocked", F.lit(True))
+    return g.concepts.select("text").join(F.broadcast(blocked), "text", "left").select("text", F.col("blocked").isNull().alias("visible"))
+
+
+@query("agg_users_of_both", " SELECT user_id, bool_or(v) AS votes, bool_or(NOT v) AS acts FROM (SELECT DISTINCT user_id, true AS v FROM votes UNION ALL SELECT DISTINCT user_id, false FROM events) GROUP BY user_id")
+def _(g):
+    both = g.votes.select("user_id").distinct().withColumn("v", F.lit(True)).unionByName(g.table("events").select("user_id").distinct().withColumn("v", F.lit(False)))
+    return both.groupBy("user_id").agg(F.bool_or("v").alias("votes"), F.bool_or(~F.col("v")).alias("acts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,7 +25,10 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def run(stream: DataFrame, state_dir: str, checkpoint: str) -> StreamingQuery:
-    """Keeps `state_dir`/v{batch} as the last votes after each batch; a batch that runs again writes the same."""
+    """Keeps `state_dir`/v{batch} as the last votes after each batch, and the version before it.
+
+    A batch that runs again writes the same.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -34,9 +37,16 @@ def run(stream: DataFrame, state_dir: str, checkpoint: str) -> StreamingQuery:
         if number:
             rows = spark.read.parquet(before).unionByName(batch)
         latest(rows).write.mode("overwrite").parquet(f"{state_dir}/v{number}")
+        if number > 1:  # a batch that runs again needs the one before it only
+            _drop(spark, f"{state_dir}/v{number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scores(state: DataFrame) -> DataFrame:
     return voting.scores(state.where("vote <> 0"), ["object_id"])
