@@ -35,10 +35,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """A table that was written whole and is still there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """The table `name` of `source`, built on first use; dealt and sorted by `by`, so that files and row groups are skipped by its values."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _PATHS:
+    if key not in _PATHS or not _complete(spark, _PATHS[key]):
         df = build()
         if by is not None:
             df = df.repartitionByRange(by).sortWithinPartitions(by)
