@@ -40,6 +40,9 @@ TERMS = 4000
 #: A term needs this precision, and a log-likelihood gain over the toxic rate that chance
 #: doesn't give among a million candidates.
 GAIN, PRECISION = 14.0, 0.85
+#: And it stands in this share of the toxic sample rows: near copies share rare words and labels,
+#: so that a few rows of one group would look like evidence.
+SUPPORT = 0.005
 CACHE = 300_000
 #: The score of a text without any term.
 BASE = 0.02
@@ -319,7 +322,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> t
     clean, base = weight * F.col("c"), count[True] / (count[True] + count[False])
     precision = F.col("t") / (F.col("t") + clean + 0.2)
     gain = F.col("t") * F.log(precision / base) + clean * F.log((1 - precision) / (1 - base))
-    strong = stats.where(F.col("f") != "").where((F.col("t") > 1) & (precision >= PRECISION) & (gain >= GAIN))
+    strong = stats.where(F.col("f") != "").where((F.col("t") > 1) & (F.col("t") >= SUPPORT * n_toxic) & (precision >= PRECISION) & (gain >= GAIN))
     rows = strong.select("f", precision.alias("p"), "t").orderBy(F.desc("t"), "f").limit(TERMS).collect()
     support = {r.f: r.t for r in rows}
     # a beginning gives way to a longer one that explains as many rows, and covers other terms that start with it
