@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, license_scan, line_dedup, ngram_join, packing, pii, toxicity, url_filter
+from . import ann, centroids, decontam, fim, langid, license_scan, line_dedup, ngram_join, packing, pii, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
-    "op3_pii": pii.op3_pii,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
@@ -16,8 +15,14 @@ QUERIES = {
     "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_topk_search": topk_search.op11_topk_search,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
 ORACLES = {
     "op9_decontamination": decontam.ORACLE,
+    "op11_topk_search": topk_search.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_centroid_clustering": centroids.ORACLE,
 }
