@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from meshwright.functions import scalars as fn
 from meshwright.operators import exports, lookups, maintenance, matrix, traversal, voting
 from meshwright.plans.base import ORACLES, QUERIES, query  # noqa: F401
-from meshwright.streaming import votes as stream
 
 KEY = ["c1", "c2"]
 
@@ -331,16 +330,5 @@ def _(g):
     return exports.urls(g)
 
 
-# Event log
-
-
-@query("str_event_votes", """WITH e AS (SELECT user_id, event_id % 97 AS object_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS vote, ts, event_id FROM events),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, object_id ORDER BY ts DESC, event_id DESC) AS rn FROM e) WHERE rn = 1 AND vote <> 0)
-SELECT object_id, CAST(sum(vote) AS BIGINT) AS score, count(*) AS n_votes FROM l GROUP BY object_id""", graph=False)
-def _(g):
-    log = stream.event_votes(g.table("events"))
-    return voting.scores(voting.last_votes(log, "user_id", ["object_id"], ["ts", "event_id"]), ["object_id"])
-
-
 # the other query modules register themselves
-from meshwright.plans import file_queries, graph_queries, point_queries, write_queries  # noqa: E402, F401
+from meshwright.plans import file_queries, graph_queries, point_queries, stream_queries, write_queries  # noqa: E402, F401

@@ -1,52 +1,12 @@
-"""Votes as a stream: a state table of last votes, merged batch by batch."""
+"""Events as votes; `ledger` keeps them as keyed state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from meshwright.operators import voting
-
-KEYS, ORDER = ["user_id", "object_id"], ["ts", "event_id"]
 
 
 def event_votes(events: DataFrame, objects: int = 97) -> DataFrame:
     """Events as votes on `objects` objects: purchases and clicks up, errors down, others take back."""
     vote = F.when(F.col("event_type").isin("purchase", "click"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return events.select("user_id", (F.col("event_id") % objects).alias("object_id"), vote.alias("vote"), "ts", "event_id")
-
-
-def latest(log: DataFrame) -> DataFrame:
-    """The last event of each user and object, takings-back included: they must outlive late votes."""
-    fields = [c for c in log.columns if c not in KEYS]
-    last = F.max_by(F.struct(*fields), F.struct(*ORDER))
-    return log.groupBy(*KEYS).agg(last.alias("x")).select(*KEYS, "x.*")
-
-
-def run(stream: DataFrame, state_dir: str, checkpoint: str) -> StreamingQuery:
-    """Keeps `state_dir`/v{batch} as the last votes after each batch, and the version before it.
-
-    A batch that runs again writes the same.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{state_dir}/v{number - 1}"
-        rows = batch
-        if number:
-            rows = spark.read.parquet(before).unionByName(batch)
-        latest(rows).write.mode("overwrite").parquet(f"{state_dir}/v{number}")
-        if number > 1:  # a batch that runs again needs the one before it only
-            _drop(spark, f"{state_dir}/v{number - 2}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def scores(state: DataFrame) -> DataFrame:
-    return voting.scores(state.where("vote <> 0"), ["object_id"])

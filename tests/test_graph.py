@@ -8,6 +8,7 @@ from conftest import SF
 from meshwright.functions import scalars as fn
 from meshwright.operators import maintenance, traversal, voting
 from meshwright.plans import registry
+from meshwright.streaming import ledger
 from meshwright.streaming import votes as stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -72,8 +73,7 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream.run(stream.event_votes(source), str(tmp_path / "state"), str(tmp_path / "log"))
-    query.awaitTermination(120)
-    last = max(int(p.name[1:]) for p in (tmp_path / "state").iterdir())
-    got = {tuple(r) for r in stream.scores(spark.read.parquet(str(tmp_path / "state" / f"v{last}"))).collect()}
-    assert got == {tuple(r) for r in registry.QUERIES["str_event_votes"](spark, SF).collect()}
+    ledger.follow(stream.event_votes(source), ["object_id"], ["ts", "event_id"], str(tmp_path / "log"), str(tmp_path / "state"), salts=3).awaitTermination(240)
+    got = {tuple(r) for r in ledger.scores(spark.read.parquet(str(tmp_path / "log")), ["object_id"]).collect()}
+    votes = voting.last_votes(stream.event_votes(events), "user_id", ["object_id"], ["ts", "event_id"])
+    assert got == {tuple(r) for r in voting.scores(votes, ["object_id"]).collect()}
