@@ -383,19 +383,56 @@ def statements(sentences: DataFrame) -> DataFrame:
     return rows.select("sentence", "frame", "r.relation", "text1", "text2", value.alias("value"), fn.frequency_text(value).alias("freq"))
 
 
+#: Copies of a frame without a word to look up; sentences are dealt over them.
+SALTS = 16
+
+
+def frame_index(frames: DataFrame, sentences: DataFrame) -> DataFrame:
+    """frame_id, goodness, pattern and `word`: the frame's literal word that stands in the fewest sentences.
+
+    A literal word counts if it is a whole word wherever the pattern fits: between spaces, with more of the
+    frame behind it. A frame without one, or whose text has regex signs that could undo that, has a null word.
+    """
+    bare = F.btrim(F.replace("text", F.lit("{%}"), F.lit("")), F.lit(". "))
+    slot = lambda text: F.regexp_replace(text, r"\{[12]\}", "(.+)")
+    shown = frames.where("goodness >= 2").select("frame_id", "goodness", bare.alias("bare"))
+    plain = ~F.regexp_replace("bare", r"\{[12]\}", "").rlike(r"[?*+|()\[\]{}\\\\^$]")
+    parts = F.split("bare", " ")
+    words = F.filter(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda w: w.rlike("^[A-Za-z0-9']+$"))
+    known = shown.select("frame_id", "goodness", F.concat(F.lit("^"), slot(F.col("bare"))).alias("pattern"), F.when(plain, words).otherwise(F.array().cast("array<string>")).alias("words"))
+    wanted = known.select(F.explode("words").alias("word")).distinct()
+    counted = _words_of(sentences).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rated = known.select("frame_id", F.explode("words").alias("word")).join(counted, "word", "left")
+    rarest = rated.groupBy("frame_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    return known.drop("words").join(rarest, "frame_id", "left")
+
+
+def _bare_sentences(sentences: DataFrame) -> DataFrame:
+    return sentences.select("sentence", F.btrim("sentence", F.lit(". ")).alias("bare")).where("sentence is not null").distinct()
+
+
+def _words_of(sentences: DataFrame) -> DataFrame:
+    """word: the distinct words of each sentence."""
+    return _bare_sentences(sentences).select(F.explode(F.array_distinct(F.split("bare", " "))).alias("word"))
+
+
 def frame_matches(sentences: DataFrame, frames: DataFrame) -> DataFrame:
     """sentence, frame_id and the two texts: the first frame by goodness (2 or more) whose pattern fits from the start.
 
-    The frames are a small dictionary; a sentence meets them one after the other in one expression.
+    A sentence meets only the frames whose rarest literal word it has, by an equi join on that word, and the
+    few frames without one; then the pattern decides.
     """
-    listed = frames.where("goodness >= 2").orderBy(F.desc("goodness"), "frame_id").collect()
-    bare = F.trim(F.regexp_replace("sentence", r"^[. ]+|[. ]+$", ""))
-    hit = F.lit(None).cast("struct<frame_id:int,text1:string,text2:string>")
-    for f in reversed(listed):
-        pattern = "^" + f.text.replace("{%}", "").replace("{1}", "(.+)", 1).replace("{2}", "(.+)", 1).strip(". ")
-        got = F.struct(F.lit(f.frame_id).cast("int").alias("frame_id"), F.regexp_extract(bare, pattern, 1).alias("text1"), F.regexp_extract(bare, pattern, 2).alias("text2"))
-        hit = F.when(bare.rlike(pattern), got).otherwise(hit)
-    return sentences.select("sentence", hit.alias("m")).select("sentence", "m.frame_id", "m.text1", "m.text2")
+    index = frame_index(frames, sentences)
+    bare = _bare_sentences(sentences)
+    by_word = bare.select("sentence", "bare", F.explode(F.array_distinct(F.split("bare", " "))).alias("word")).join(index.where("word is not null"), "word")
+    dealt = bare.withColumn("salt", F.pmod(F.xxhash64("sentence"), F.lit(SALTS)).cast("int"))
+    rest = dealt.join(index.where("word is null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "salt")
+    tried = by_word.select("sentence", "bare", "frame_id", "goodness", "pattern").unionByName(rest.select("sentence", "bare", "frame_id", "goodness", "pattern"))
+    fits = tried.where(F.rlike("bare", F.col("pattern")))
+    text = lambda i: F.call_function("regexp_extract", F.col("bare"), F.col("pattern"), F.lit(i)).alias(f"text{i}")
+    best = F.min_by(F.struct("frame_id", "bare", "pattern"), F.struct(F.negate("goodness"), "frame_id"))
+    found = fits.groupBy("sentence").agg(best.alias("m")).select("sentence", "m.frame_id", F.col("m.bare").alias("bare"), F.col("m.pattern").alias("pattern"))
+    return sentences.select("sentence").join(found.select("sentence", "frame_id", text(1), text(2)), "sentence", "left")
 
 
 def tag_probabilities(tagged: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
+from meshwright.operators import spectral
 from meshwright.sources import store
 from meshwright.sources.graph import Graph
 
@@ -70,6 +71,32 @@ def build_matrix(q: DataFrame, cutoff: int = 5) -> DataFrame:
     return cells.join(rows, "concept", "left_semi").join(cols, col, "left_semi")
 
 
+def squished(cells: DataFrame, cutoff: int = 5) -> DataFrame:
+    """The largest part of the cells whose rows and columns all have `cutoff` cells.
+
+    Rows and columns under the cutoff go, which may take others under it, until none is left to go.
+    Each round's cells are written once; a round that removes nothing ends the loop.
+    """
+    col = ["direction", "relation", "other"]
+    scratch = store.Scratch(cells.sparkSession)
+    now = scratch.written(cells, "cells")
+    n = now.count()
+    while True:
+        many = lambda keys: now.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)  # noqa: E731, B023
+        after = scratch.written(now.join(many(["concept"]), "concept", "left_semi").join(many(col), col, "left_semi").select(*cells.columns), "cells")
+        left = after.count()
+        scratch.drop([now])
+        now = after
+        if left == n:
+            return now
+        n = left
+
+
+def summed_cells(q: DataFrame) -> DataFrame:
+    """The feature cells of quads, equal ones summed."""
+    return to_features(q).groupBy("concept", "direction", "relation", "other").agg(F.sum("value").alias("value"))
+
+
 def normalised(cells: DataFrame) -> DataFrame:
     """Cells over the roots of their row's and column's lengths."""
     col = ["direction", "relation", "other"]
@@ -79,37 +106,11 @@ def normalised(cells: DataFrame) -> DataFrame:
     return cells.join(r, "concept").join(c, col).select("concept", *col, (F.col("value") / F.sqrt(F.col("r") * F.col("c"))).alias("value"))
 
 
-def singular_vectors(cells: DataFrame, k: int = 2, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, list[float]]:
-    """concept and v, its entries of the k leading left singular vectors, and the singular values.
-
-    Block power iteration on the cells, written once a round; only k x k products reach the
-    driver. The last round turns the block to the singular directions.
-    """
-    cols = ["direction", "relation", "other"]
-    cells = store.written(cells.select("concept", F.concat_ws("|", *cols).alias("f"), "value"), "cells")
-    names = [f"v{i}" for i in range(k)]
-    start = [((F.xxhash64("concept", F.lit(seed + i)) % 1000003) / 1000003.0).alias(v) for i, v in enumerate(names)]
-    block = cells.select("concept").distinct().select("concept", *start)
-
-    def gram(rows: DataFrame) -> np.ndarray:
-        got = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names)).first()
-        return np.array([[got[f"{a}{b}"] or 0.0 for b in names] for a in names])
-
-    def turned(rows: DataFrame, w: np.ndarray) -> DataFrame:
-        return rows.select("concept", *(sum((F.col(a) * float(w[i, j]) for i, a in enumerate(names)), F.lit(0.0)).alias(f"v{j}") for j in range(k)))
-
-    def across(rows: DataFrame, key: str, to: str) -> DataFrame:
-        return cells.join(rows, key).groupBy(to).agg(*(F.sum(F.col("value") * F.col(v)).alias(v) for v in names))
-
-    for _ in range(rounds):
-        block = store.written(across(across(block, "concept", "f"), "f", "concept"), "block")
-        g = gram(block)
-        block = turned(block, np.linalg.pinv(np.linalg.cholesky(g + 1e-12 * (np.trace(g) + 1) * np.eye(k))).T)
-    square, w = np.linalg.eigh(gram(across(block, "concept", "f")))
-    order = np.argsort(-square)
-    block = turned(block, w[:, order])
-    values = np.sqrt(np.maximum(square[order], 0)).tolist()
-    return block.select("concept", F.array(*names).alias("v")), values
+def singular_vectors(cells: DataFrame, k: int = 2, rounds: int = 40, seed: int = 3, tol: float = 1e-6) -> tuple[DataFrame, list[float]]:
+    """concept and v, its entries of the k leading left singular vectors, and the singular values."""
+    features = cells.select("concept", F.concat_ws("|", "direction", "relation", "other").alias("feature"), "value")
+    found = spectral.decompose(features, "concept", "feature", k, tol, rounds, seed)
+    return found.vectors, found.values
 
 
 def activation(vectors: DataFrame, values: list[float], offset: float = 1e-5) -> DataFrame:

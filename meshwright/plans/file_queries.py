@@ -145,7 +145,7 @@ def _(g):
 
 @query("src_stored_matrix", " SELECT relation, c1, c2, score FROM useful WHERE score >= 3")
 def _(g):
-    return store.stored(g.spark, g.sf_dir, "strong", lambda: g.useful.where("score >= 3").select("relation", "c1", "c2", "score"), "c1")
+    return store.stored(g.spark, g.sf_dir, "strong", lambda: g.useful.where("score >= 3").select("relation", "c1", "c2", "score"), ["c1"], g.version)
 
 
 @query("agg_tag_shares", """WITH w AS (SELECT unnest([lower(split_part(p_name, ' ', 1)) || '/JJ', lower(split_part(p_name, ' ', 2)) || '/NN']) AS t FROM part), p AS (SELECT split_part(t, '/', 1) AS word, split_part(t, '/', 2) AS tag FROM w)

@@ -72,6 +72,12 @@ def _(g):
     return matrix.similar_terms(matrix.activation(vectors, values), fn.term_list("blue anvil,cold widget@0.5,nowhere"), 20)
 
 
+@query("mat_similar_terms_150")
+def _(g):
+    vectors, values = matrix.singular_vectors(matrix.normalised(matrix.build_matrix(matrix.quads(g))), k=150)
+    return matrix.similar_terms(matrix.activation(vectors, values), fn.term_list("blue anvil,cold widget@0.5,nowhere"), 20)
+
+
 _CELLS = """, k AS (SELECT text FROM concepts WHERE num_assertions >= 5), q AS (SELECT c1, relation, c2, value / 10.0 * log2(greatest(score + 1, 1)) AS value FROM useful WHERE c1 IN (SELECT text FROM k) AND c2 IN (SELECT text FROM k)),
 f AS (SELECT c1 AS concept, 'right' AS direction, relation, c2 AS other, value FROM q UNION ALL SELECT c2, 'left', relation, c1, value FROM q),
 c AS (SELECT concept, direction, relation, other, sum(value) AS value FROM f GROUP BY ALL),
@@ -83,6 +89,33 @@ def _(g):
     return matrix.top_features(matrix.build_matrix(matrix.quads(g)), HUB).select("concept", "direction", "relation", "other", F.round("value", 5).alias("value"))
 
 
+_NORMALISED = _CELLS + """, r AS (SELECT concept, sqrt(sum(value * value)) AS r FROM m GROUP BY concept), k2 AS (SELECT direction, relation, other, sqrt(sum(value * value)) AS k FROM m GROUP BY ALL),
+z AS (SELECT m.concept, m.direction, m.relation, m.other, value / sqrt(r * k) AS value FROM m JOIN r USING (concept) JOIN k2 USING (direction, relation, other))"""
+
+
+@query("mat_energy", _NORMALISED + " SELECT concept, round(sum(value * value), 4) + 0.0 AS energy FROM z GROUP BY concept")
+def _(g):
+    """What the singular values and vectors give back of each row's squares; at this rank, nothing is left out."""
+    vectors, values = matrix.singular_vectors(matrix.normalised(matrix.build_matrix(matrix.quads(g))), k=200)
+    part = F.zip_with("v", F.array(*[F.lit(float(x)) for x in values]), lambda v, s: v * v * s * s)
+    return vectors.select("concept", (F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + x), 4) + 0.0).alias("energy"))
+
+
+def _squished_sql(rounds: int = 12) -> str:
+    """Rounds of leaving out what is under the cutoff; more than any of the tables needs."""
+    parts = [_CELLS.rpartition(",\nm AS")[0] + ", m0 AS MATERIALIZED (SELECT * FROM c)"]
+    for i in range(rounds):
+        parts.append(
+            f"m{i + 1} AS MATERIALIZED (SELECT * FROM m{i} WHERE concept IN (SELECT concept FROM m{i} GROUP BY concept HAVING count(*) >= 5) AND (direction, relation, other) IN (SELECT direction, relation, other FROM m{i} GROUP BY ALL HAVING count(*) >= 5))"
+        )
+    return ", ".join(parts) + f" SELECT concept, direction, relation, other, round(value, 5) AS value FROM m{rounds}"
+
+
+@query("mat_squished", _squished_sql())
+def _(g):
+    return matrix.squished(matrix.summed_cells(matrix.quads(g))).withColumn("value", F.round("value", 5))
+
+
 @query("mat_near_anchor", """WITH a AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS cosine FROM embeddings, a WHERE list_cosine_similarity(embedding::DOUBLE[], q) > 0.2""", graph=False)
 def _(g):

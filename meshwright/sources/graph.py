@@ -56,8 +56,13 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stored(self, name: str, build, by: str | None = None) -> DataFrame:
-        return store.stored(self.spark, self.sf_dir, name, build, by)
+    @cached_property
+    def version(self) -> tuple[int, int]:
+        """The source's version when the graph was opened."""
+        return store.fingerprint(self.spark, self.sf_dir)
+
+    def stored(self, name: str, build, by: list[str] | None = None) -> DataFrame:
+        return store.stored(self.spark, self.sf_dir, name, build, by, self.version)
 
     @cached_property
     def vote_log(self) -> DataFrame:
@@ -80,7 +85,7 @@ class Graph:
             last = F.max_by("vote", F.struct(*ORDER))
             return self.vote_log.groupBy("user_id", "c1", "c2").agg(last.alias("vote"), F.collect_set("freq").alias("freqs"))
 
-        return self.stored("votes", build, "c1")
+        return self.stored("votes", build)
 
     @cached_property
     def votes(self) -> DataFrame:
@@ -90,12 +95,12 @@ class Graph:
     @cached_property
     def assertions(self) -> DataFrame:
         """relation, c1, c2, score, freq, value; the five keys are unique. Sorted by c1."""
-        return self.stored("assertions", self._derived, "c1")
+        return self.stored("assertions", self._derived, ["c1", "relation", "c2"])
 
     @cached_property
     def by_c2(self) -> DataFrame:
         """`assertions`, sorted by c2."""
-        return self.stored("assertions_by_c2", lambda: self.assertions, "c2")
+        return self.stored("assertions_by_c2", lambda: self.assertions, ["c2", "relation", "c1"])
 
     def touching(self, text: str, *, useful: bool = True) -> DataFrame:
         """Assertions with the concept at either side, a self-loop once; each side reads the table sorted by it."""
@@ -138,7 +143,7 @@ class Graph:
     @cached_property
     def concepts(self) -> DataFrame:
         """text, words, visible and num_assertions: useful assertions that touch it, a self-loop once."""
-        return self.stored("concepts", self._concepts, "text")
+        return self.stored("concepts", self._concepts, ["text"])
 
     def _concepts(self) -> DataFrame:
         ends = self.assertions.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("text")).distinct()
@@ -149,7 +154,7 @@ class Graph:
     @cached_property
     def surfaces(self) -> DataFrame:
         """surface, concept, use_count: the text itself and with articles; raw assertions that use it, at both sides once."""
-        return self.stored("surfaces", self._surfaces, "concept")
+        return self.stored("surfaces", self._surfaces, ["concept", "surface"])
 
     def _surfaces(self) -> DataFrame:
         used = self.raws.select(F.explode(F.array_distinct(F.array("surface1", "surface2"))).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))

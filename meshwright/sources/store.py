@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Paths of what this process has written, by application, source folder and name.
-_PATHS: dict[tuple[str, str, str], str] = {}
+#: The source's version and the path of what this process has written, by application, source folder and name.
+_PATHS: dict[tuple[str, str, str], tuple[tuple[int, int], str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,20 +36,65 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written for one job; those that it no longer needs can go before the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def written(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = fresh(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, frames: list[DataFrame]) -> None:
+        """Deletes the tables behind `frames`, which nothing may read any more."""
+        for df in frames:
+            delete(self.spark, self.paths.pop(id(df)))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     """A table that was written whole and is still there."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
-def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-    """The table `name` of `source`, built on first use; dealt and sorted by `by`, so that files and row groups are skipped by its values."""
+def fingerprint(spark: SparkSession, source: str) -> tuple[int, int]:
+    """Number and digest of the files of a source: another one when a file comes, goes or is written again."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(source)
+    each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    row = files.select(each.alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
+    return row.n, int(row.h or 0)
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: list[str] | None = None, version: tuple[int, int] | None = None) -> DataFrame:
+    """The table `name` of `source` in its present version, built on first use.
+
+    Dealt and sorted by `by`, so that files and row groups are skipped by its first column; the columns behind it
+    split the rows of a value that has many. When the source has changed, the table is built again and the
+    copy of the old version goes.
+    """
+    version = fingerprint(spark, source) if version is None else version
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _PATHS or not _complete(spark, _PATHS[key]):
-        df = build()
-        if by is not None:
-            df = df.repartitionByRange(by).sortWithinPartitions(by)
+    if key not in _PATHS or _PATHS[key][0] != version or not _complete(spark, _PATHS[key][1]):
+        df, scratch = build(), Scratch(spark)
         path = fresh(spark, name)
-        df.write.parquet(path)
-        _PATHS[key] = path
-    return spark.read.parquet(_PATHS[key])
+        if by is not None:  # written first, as dealing by range reads it twice
+            raw = scratch.written(df, f"{name}-unsorted")
+            raw.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+            scratch.drop([raw])
+        else:
+            df.write.parquet(path)
+        old = _PATHS.get(key)
+        _PATHS[key] = version, path
+        if old is not None:
+            delete(spark, old[1])
+    return spark.read.parquet(_PATHS[key][1])
