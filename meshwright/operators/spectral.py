@@ -45,10 +45,11 @@ def _numbered(cells: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Tiles:
-    """A sparse table in tiles (rb, i, cb, j, value), and the names of its rows."""
+    """A sparse table in tiles (rb, i, cb, j, value), and the names of its rows and columns."""
 
     cells: DataFrame
     rows: DataFrame
+    columns: DataFrame
     size: dict[str, DataFrame]  # by side: b, n (members of the block)
     many: dict[str, int]  # by side: blocks
     pairs: DataFrame  # rb, cb of tiles with cells
@@ -63,7 +64,7 @@ class Tiles:
         tiles = scratch.written(cells.join(r, row).join(c, column).select("rb", "cb", "i", "j", "value"), "tiles")
         size = {side: scratch.written(names.groupBy("b").agg(F.count("*").alias("n")), "sizes") for side, names in (("rb", rows), ("cb", columns))}
         many = {side: n.count() for side, n in size.items()}
-        return cls(tiles, rows, size, many, scratch.written(tiles.select("rb", "cb").distinct(), "pairs"), scratch)
+        return cls(tiles, rows, columns, size, many, scratch.written(tiles.select("rb", "cb").distinct(), "pairs"), scratch)
 
     def start(self, width: int, seed: int) -> DataFrame:
         """Random column blocks, the same whenever they are made."""
@@ -131,8 +132,8 @@ def gram(x: DataFrame, width: int, many: int) -> np.ndarray:
                 block = _frame(raw.as_py(), width)
                 yield pa.record_batch([pa.array([0], pa.int32()), pa.array([b], pa.int32()), pa.array([(block.T @ block).tobytes()], pa.binary())], names=["b", "part", "x"])
 
-    total = _summed(x.mapInArrow(products, "b int, part int, x binary"), many).first()
-    return np.frombuffer(total.x, np.float64).reshape(width, width) if total else np.zeros((width, width))
+    total = _summed(x.mapInArrow(products, "b int, part int, x binary"), many).collect()  # one row, or none without cells
+    return np.frombuffer(total[0].x, np.float64).reshape(width, width) if total else np.zeros((width, width))
 
 
 def turned(x: DataFrame, w: np.ndarray) -> DataFrame:
@@ -156,6 +157,7 @@ def _orthonormal(g: np.ndarray) -> np.ndarray:
 @dataclass
 class Spectrum:
     vectors: DataFrame  # the row's name and v, its entries of the left singular vectors
+    columns: DataFrame  # the column's name and v, its entries of the right ones
     values: list[float]
     residual: float  # the largest |A'A v - s^2 v| over the largest s^2
     rounds: int
@@ -190,12 +192,17 @@ def decompose(cells: DataFrame, row: str, column: str, k: int, tol: float = 1e-6
         old = [f for f in (x, y, z)]
     length = np.sqrt(value[:k])
     unit = w[:, :k] * np.where(length > 1e-12 * max(length.max(initial=0), 1e-300), 1 / np.where(length > 0, length, 1), 0)
+    left, right = _spread(y, unit), _spread(x, w[:, :k])
+    return Spectrum(tiles.rows.join(left, ["b", "i"]).select(row, "v"), tiles.columns.join(right, ["b", "i"]).select(column, "v"), length.tolist(), residual, done)
 
-    def spread(batches):
+
+def _spread(x: DataFrame, w: np.ndarray) -> DataFrame:
+    """The rows of the blocks times a small array, one by one: b, i, v."""
+
+    def run(batches):
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = _frame(raw.as_py(), width) @ unit
+                v = _frame(raw.as_py(), len(w)) @ w
                 yield pa.record_batch([pa.array(np.full(len(v), b, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(list(v), pa.list_(pa.float64()))], names=["b", "i", "v"])
 
-    left = y.mapInArrow(spread, "b int, i int, v array<double>")
-    return Spectrum(tiles.rows.join(left, ["b", "i"]).select(row, "v"), length.tolist(), residual, done)
+    return x.mapInArrow(run, "b int, i int, v array<double>")

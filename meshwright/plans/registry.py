@@ -331,4 +331,4 @@ def _(g):
 
 
 # the other query modules register themselves
-from meshwright.plans import file_queries, graph_queries, point_queries, stream_queries, write_queries  # noqa: E402, F401
+from meshwright.plans import file_queries, graph_queries, job_queries, point_queries, stream_queries, write_queries  # noqa: E402, F401

@@ -82,6 +82,50 @@ def documents_in(spark: SparkSession, path: str, fields: str) -> DataFrame:
     return docs.where("value <> ''").select(parsed.alias("d")).select("d.model", "d.pk", "d.fields.*")
 
 
+def blocks_out(df: DataFrame, model: str, key: str) -> DataFrame:
+    """Rows as YAML documents in block form: strings as literal blocks over as many lines as they have, other fields as JSON.
+
+    Lines of a literal block are indented, so no text looks like the start of a document.
+    """
+    fields = []
+    for f in df.schema.fields:
+        if f.name != key:
+            if f.dataType.typeName() == "string":
+                value = F.concat(F.lit("|\n    "), F.replace(F.col(f.name), F.lit("\n"), F.lit("\n    ")))
+            else:
+                value = F.regexp_extract(F.to_json(F.struct(F.col(f.name).alias("x"))), r"^\{.x.:(.*)\}$", 1)
+            fields.append(F.concat(F.lit(f"\n  {f.name}: "), F.when(F.col(f.name).isNull(), "null").otherwise(value)))
+    head = F.concat(F.lit(f"--- \nmodel: {model}\npk: "), F.col(key).cast("string"), F.lit("\nfields:"))
+    return df.select(F.concat(head, *fields).alias("value"))
+
+
+def blocks_in(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """model, pk and fields of a stream of such documents.
+
+    Files are split into documents at `\\n--- `, wherever the splits of a file lie, so large files are read by many tasks.
+    """
+    docs = spark.read.option("lineSep", "\n--- ").text(path).select(F.concat(F.lit("\n"), F.regexp_replace("value", "^--- |\n$", "")).alias("d")).where("d <> '\n'")
+    # what stands behind a name up to the next line that is indented as a name is
+    after = lambda indent, name: F.split(F.get(F.split(F.col("d"), f"\n{indent}{name}: ", 2), F.lit(1)), f"\n {{0,2}}(?=[^ \n])", 2)[0]
+    out = [after("", "model").alias("model"), after("", "pk").alias("pk")]
+    for f in spark.createDataFrame([], fields).schema.fields:
+        raw = after("  ", f.name)
+        if f.dataType.typeName() == "string":
+            value = F.when(raw.startswith("|\n    "), F.replace(F.substring(raw, 7, 1 << 30), F.lit("\n    "), F.lit("\n")))
+        else:
+            value = F.from_json(F.concat(F.lit('{"x":'), raw, F.lit("}")), f"x {f.dataType.simpleString()}").x
+        out.append(value.alias(f.name))
+    return docs.select(*out)
+
+
+def through_blocks(df: DataFrame, model: str, key: str) -> DataFrame:
+    """Written as block documents to the shared folder and read back."""
+    path = store.fresh(df.sparkSession, model)
+    blocks_out(df, model, key).write.text(path)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != key)
+    return blocks_in(df.sparkSession, path, fields)
+
+
 def masked(df: DataFrame, private: list[str]) -> DataFrame:
     """A table for publication: private columns blank."""
     return df.select(*[F.lit("").alias(c) if c in private else F.col(c) for c in df.columns])
