@@ -86,3 +86,33 @@ def coloured(rows: DataFrame, rgb: list[tuple[str, int, int, int]]) -> DataFrame
     """text and html: the text on the colour that its similarities mix."""
     mix = fn.colour_mix(F.col("sims"), rgb)
     return rows.select("text", mix.alias("c")).select("text", F.format_string('<span style="background: rgb(%d,%d,%d)">%s</span>', "c.r", "c.g", "c.b", "text").alias("html"))
+
+
+def tables(g: Graph) -> dict[str, DataFrame]:
+    """The tables of a publication. Of users only the id and a name go out: all else is blank."""
+    said = raw_rows(g)
+    kinds, activities = [("assertion",), ("raw_assertion",), ("sentence",)], [("vote",), ("import",)]
+    users = g.votes.select("user_id").distinct().select("user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"))
+    blank = {c: F.lit("") for c in ("first_name", "last_name", "email")}
+    users = users.withColumns(blank | {"password": F.lit("X"), "last_login": F.lit(_NEVER).cast("timestamp"), "date_joined": F.lit(_NEVER).cast("timestamp"), "is_staff": F.lit(False), "is_active": F.lit(True), "is_superuser": F.lit(False)})
+    return {
+        "vote": g.votes, "raw_assertion": g.raws, "frame": g.frames, "surface_form": g.surfaces, "assertion": g.assertions, "relation": g.relations, "frequency": g.frequencies,
+        "concept": g.concepts, "language": g.languages, "sentence": said.select("text", "creator", "score").distinct(), "user": users,
+        "content_type": g.spark.createDataFrame(kinds, "name string"), "activity": g.spark.createDataFrame(activities, "name string"),
+        "batch": g.spark.createDataFrame([], "batch int, status string, remarks string, progress_num long, progress_den long, created timestamp, updated timestamp"),
+    }
+
+
+#: Fixed value: the time that stands for every user's own.
+_NEVER = "1969-12-31 19:00:00"
+
+
+def dump(g: Graph, path: str) -> DataFrame:
+    """Every table of `tables` as Parquet under `path`, over what was there; the list of them as they were read back."""
+    out = None
+    for name, df in tables(g).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        back = g.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        row = back.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(",".join(sorted(back.columns))).alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
+from meshwright.operators import voting
 from meshwright.sources.graph import Graph
 
 
@@ -34,10 +35,21 @@ def unique_links(g: Graph) -> DataFrame:
 
 
 def move_concept(g: Graph, old: str, new: str) -> DataFrame:
-    """Assertions with `old` replaced by `new`; rows that then share the five keys merge, summing scores."""
-    moved = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
-    rows = g.assertions.select("relation", moved("c1"), moved("c2"), "freq", "value", "score")
-    return rows.groupBy("relation", "c1", "c2", "freq", "value").agg(F.sum("score").alias("score"))
+    """Assertions with `old` replaced by `new`; rows that then share the five keys are one.
+
+    Where they are voted on, the votes move: a user who has voted on both keeps the vote on what was there,
+    and the score is the sum of the votes that are left. Without votes the score of what was there stays.
+    """
+    votes = g.votes.select("user_id", "c1", "c2", "vote")
+    for column in ("c1", "c2"):
+        votes = voting.moved_votes(votes, column, old, new, ["c1", "c2"])
+    total = voting.scores(votes, ["c1", "c2"]).select("c1", "c2", F.col("score").alias("voted"))
+    to = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
+    own = ((F.col("c1") != old) & (F.col("c2") != old)).alias("own")
+    rows = g.assertions.select("relation", to("c1"), to("c2"), "freq", "value", "score", own)
+    merged = rows.groupBy("relation", "c1", "c2", "freq", "value").agg(F.max_by("score", F.struct("own", "score")).alias("score"))
+    score = F.when(F.col("relation") == "CapableOf", F.coalesce("voted", F.lit(0))).otherwise(F.col("score"))
+    return merged.join(total, ["c1", "c2"], "left").select("relation", "c1", "c2", "freq", "value", score.alias("score"))
 
 
 def implicit_votes(g: Graph) -> DataFrame:

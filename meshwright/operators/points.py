@@ -236,6 +236,69 @@ def proposition_parts(g: Graph) -> DataFrame:
     return top.select("c1", "relation", "c2", "frame_id", F.col("surface1").alias("text1"), F.col("surface2").alias("text2"), fn.fill_in(F.col("frame"), F.col("surface1"), F.col("surface2")).alias("statement"))
 
 
+def propositions(g: Graph) -> DataFrame:
+    """Each proposition that the useful assertions make, and the same with its sides changed, which mostly nobody said."""
+    said = g.useful.select("c1", "relation", "c2")
+    return said.unionByName(said.select(F.col("c2").alias("c1"), "relation", F.col("c1").alias("c2"))).distinct()
+
+
+def proposition_wording(g: Graph, rows: DataFrame, least: int = 3) -> DataFrame:
+    """Propositions (c1, relation, c2) with the frame and the two texts that word them, and the frame's question.
+
+    The frame is the relation's best of goodness `least` or more, else its best of any. A side's text is the surface
+    of the best raw assertion of the relation with that concept there, whatever it says of the other side, else
+    the concept's most used surface, else the concept itself. Relations without a frame word nothing.
+    """
+    best = F.min_by(F.struct("frame_id", "text", "question_yn"), F.struct((F.col("goodness") < least).cast("int"), F.negate("goodness"), "frame_id"))
+    frames = g.frames.groupBy("relation").agg(best.alias("f")).select("relation", "f.*")
+    names = lookups.best_surface(g)
+
+    def side(i: int) -> DataFrame:
+        first = F.min_by(f"surface{i}", F.struct(F.negate("score"), "frame_id", f"surface{i}"))
+        return g.raws.groupBy("relation", f"c{i}").agg(first.alias(f"said{i}"))
+
+    out = rows.join(F.broadcast(frames), "relation")
+    for i in (1, 2):
+        named = names.select(F.col("concept").alias(f"c{i}"), F.col("canonical_name").alias(f"name{i}"))
+        out = out.join(side(i), ["relation", f"c{i}"], "left").join(named, f"c{i}", "left").withColumn(f"text{i}", F.coalesce(f"said{i}", f"name{i}", f"c{i}"))
+    return out.select("c1", "relation", "c2", "frame_id", F.col("text").alias("frame"), "text1", "text2", "question_yn")
+
+
+def proposition_questions(g: Graph, rows: DataFrame) -> DataFrame:
+    """Propositions asked: the frame's question, or its statement with a question mark, the texts in brackets."""
+    mark = lambda c: F.concat(F.lit("[["), F.col(c), F.lit("]]"))
+    asked = F.coalesce("question_yn", F.concat("frame", F.lit("?")))
+    return proposition_wording(g, rows).select("c1", "relation", "c2", fn.fill_in(asked, mark("text1"), mark("text2")).alias("question"))
+
+
+def rated_objects(g: Graph, label: str = "Up,Down") -> DataFrame:
+    """Every vote of every kind with the object it is on: kind, object, user_id, vote, its label and the object's words and score.
+
+    A vote on (c1, c2) is one on each assertion of the pair, and on the best raw assertion of each; only what exists is rated.
+    """
+    assertions = g.assertions.where("relation = 'CapableOf'").select(*ASSERTION, "score")
+    raws = lookups.best_raw(g).where("relation = 'CapableOf'").select(*ASSERTION, "frame_id", "frame", "surface1", "surface2", "score")
+    key = F.concat_ws("|", *ASSERTION)
+    a = assertions.select("c1", "c2", F.lit("assertion").alias("kind"), key.alias("object"), F.format_string("%s(%s, %s)[%s]", "relation", "c1", "c2", "freq").alias("words"), "score")
+    r = raws.select("c1", "c2", F.lit("raw_assertion").alias("kind"), F.concat_ws("|", key, F.col("frame_id").cast("string")).alias("object"), fn.fill_in(F.col("frame"), F.trim("surface1"), F.trim("surface2")).alias("words"), "score")
+    return g.votes.join(a.unionByName(r), ["c1", "c2"]).select("kind", "object", "user_id", "vote", vote_label(F.col("vote"), label).alias("label"), "words", "score")
+
+
+def vote_label(vote: Column, label: str = "Up,Down") -> Column:
+    """A vote by the name of its direction; with other than two names, as its number."""
+    names = label.split(",")
+    return vote.cast("string") if len(names) != 2 else F.when(vote == 1, names[0]).otherwise(names[1])
+
+
+def confirm_message(description: Column, direction: Column) -> Column:
+    """What asks a user to confirm a vote; the description's signs of markup are written out."""
+    safe = description
+    for sign, word in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        safe = F.replace(safe, F.lit(sign), F.lit(word))
+    clear = F.concat(F.lit("Confirm clearing your vote for <strong>"), safe, F.lit("</strong>."))
+    return F.when(direction == "clear", clear).otherwise(F.concat(F.lit("Confirm <strong>"), direction, F.lit("</strong> vote for <strong>"), safe, F.lit("</strong>.")))
+
+
 def relation_ends(g: Graph) -> DataFrame:
     """The assertion with the least and the greatest key of each relation."""
     key = F.struct("c1", "c2", "freq")

@@ -62,6 +62,36 @@ def spread(g: Graph, origins: dict[str, float], hops: int = 2, beam: int = 500,
     return found.select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(limit)
 
 
+def spread_out(g: Graph, origins: dict[str, float] | list[str] | str, least: float = 1e-5, beam: int = 500, limit: int = 200, weights: tuple[dict, dict] | None = None) -> DataFrame:
+    """Activation that spreads, both ways where relations have reverse weights, until no visit has `least` left.
+
+    As every way passes at most half on, that ends. Each step joins the frontier to the ways, keeps its `beam`
+    strongest visits and is written, so no step is computed twice and lineage stays short. Visits of a
+    concept merge by probabilistic or; origins aren't results.
+    """
+    start, _ = known_origins(g, origins)
+    forward, reverse = weights or link_weights()
+    nothing = g.spark.createDataFrame([], "node string, score double")
+    if not start or not (any(forward.values()) or any(reverse.values())):
+        return nothing
+    scratch = store.Scratch(g.spark)
+    ways = scratch.written(_directed(g, forward, reverse), "ways")
+    frontier, steps = g.spark.createDataFrame(list(start.items()), "node string, s double"), []
+    while True:
+        nexts = frontier.join(ways, "node").select(F.col("other").alias("node"), (F.col("s") * F.col("factor")).alias("s")).where(F.col("s") >= least)
+        frontier = scratch.written(nexts.orderBy(F.desc("s"), "node").limit(beam), "step")
+        if frontier.isEmpty():
+            break
+        steps.append(frontier)
+    if not steps:
+        return nothing
+    visits = steps[0]
+    for s in steps[1:]:
+        visits = visits.unionByName(s)
+    found = visits.where(~F.col("node").isin(list(start))).groupBy("node").agg(probabilistic_or(F.col("s")).alias("score"))
+    return found.select("node", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node").limit(limit)
+
+
 #: The forward weights of each projection.
 PROJECTIONS = {
     "affective": {"Desires": 1.0, "CausesDesire": 1.0, "MotivatedByGoal": 1.0},

@@ -43,6 +43,41 @@ for _kind, _sql in _KINDS.items():
         return traversal.project(g, kind, {start: 1.0})
 
 
+def _far_sql(forward: str, reverse: str, origin: str, steps: int = 14, least: float = 1e-5) -> str:
+    """More steps than any visit of `least` can take, as a way passes at most a fifth on."""
+    discount = "0.5 * exp(-power(ln(coalesce(d, 0) + 5) / ln(5) - 2.5, 2) / 2) / sqrt(2 * pi())"
+    parts = [f""", e AS (SELECT DISTINCT relation, c1, c2 FROM useful), o AS (SELECT c1 AS n, count(*) AS d FROM e GROUP BY c1), i AS (SELECT c2 AS n, count(*) AS d FROM e GROUP BY c2),
+st AS MATERIALIZED (SELECT c1 AS a, c2 AS b, {discount} * ({forward}) AS f FROM e LEFT JOIN o ON n = c2 WHERE ({forward}) > 0 UNION ALL SELECT c2, c1, {discount} * ({reverse}) FROM e LEFT JOIN i ON n = c1 WHERE ({reverse}) > 0),
+v0 AS (SELECT '{origin}' AS node, 1.0::DOUBLE AS s)"""]
+    for k in range(steps):
+        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT b AS node, s * f AS s FROM v{k} JOIN st ON a = node WHERE s * f >= {least} ORDER BY 2 DESC, 1 LIMIT 500)")
+    every = " UNION ALL ".join(f"SELECT * FROM v{k + 1}" for k in range(steps))
+    return ", ".join(parts) + f", v AS ({every}) SELECT node, round(1 - exp(sum(ln(1 - s))), 6) AS score FROM v WHERE node <> '{origin}' GROUP BY node ORDER BY score DESC, node LIMIT 200"
+
+
+_BACK = "CASE relation WHEN 'CapableOf' THEN 0.5 WHEN 'AtLocation' THEN 0.9 WHEN 'PartOf' THEN 1.0 ELSE 0 END"
+
+
+@query("gra_spread_out", _far_sql(_DEFAULT, "0", HUB))
+def _(g):
+    return traversal.spread_out(g, {HUB: 1.0})
+
+
+@query("gra_spread_both_ways", _far_sql(_DEFAULT, _BACK, "blue anvil"))
+def _(g):
+    back = {"CapableOf": 0.5, "AtLocation": 0.9, "PartOf": 1.0}
+    return traversal.spread_out(g, {"blue anvil": 1.0}, weights=(traversal.WEIGHTS, back))
+
+
+_WHERE = "CASE relation WHEN 'AtLocation' THEN 1.0 ELSE 0 END"
+
+
+@query("gra_project_places", _far_sql(_WHERE, _WHERE, "NATION_3"))
+def _(g):
+    """The spatial projection in both directions: what is at a place, and what else is where that is."""
+    return traversal.spread_out(g, {"NATION_3": 1.0}, weights=(traversal.PROJECTIONS["spatial"], {"AtLocation": 1.0}))
+
+
 @query("gra_activate")
 def _(g):
     return traversal.activate(g, {HUB: 1.0})

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshwright.operators import batches, colours, matrix, versions, voting
+from meshwright.operators import batches, colours, exports, matrix, points, versions, voting
 from meshwright.plans.base import query
-from meshwright.sources import files
+from meshwright.sources import files, store
 from meshwright.sources.graph import ORDER
 
 USER_VOTE = ["user_id", "c1", "c2"]
@@ -107,3 +107,63 @@ def _(g):
     names = g.table("part").select(F.col("p_name").alias("word"), F.split("p_name", " ")[0].alias("colour")).distinct()
     vectors, found = colours.learned(matrix.build_matrix(matrix.quads(g)), names.where(F.col("colour").isin(list(colours.RGB))), k=100)
     return colours.coloured_concepts(vectors, found)
+
+
+_SIDE = "(SELECT relation, c{0}, surface{0} AS said{0} FROM (SELECT relation, c{0}, surface{0}, row_number() OVER (PARTITION BY relation, c{0} ORDER BY score DESC, frame_id, surface{0}) AS rn FROM raws) WHERE rn = 1)"
+_WORDED = f""", p AS (SELECT c1, relation, c2 FROM useful UNION SELECT c2, relation, c1 FROM useful),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY goodness >= 3 DESC, goodness DESC, frame_id) AS rn FROM frames) WHERE rn = 1),
+n AS (SELECT concept, arg_max(surface, (use_count, surface)) AS name FROM surfaces GROUP BY concept),
+z AS (SELECT p.c1, p.relation, p.c2, frame_id, f.text AS frame, coalesce(said1, n1.name, p.c1) AS text1, coalesce(said2, n2.name, p.c2) AS text2, question_yn FROM p JOIN f ON f.relation = p.relation
+  LEFT JOIN {_SIDE.format(1)} s1 ON s1.relation = p.relation AND s1.c1 = p.c1 LEFT JOIN {_SIDE.format(2)} s2 ON s2.relation = p.relation AND s2.c2 = p.c2
+  LEFT JOIN n n1 ON n1.concept = p.c1 LEFT JOIN n n2 ON n2.concept = p.c2)"""
+
+
+@query("nl_proposition_wording", _WORDED + " SELECT c1, relation, c2, frame_id, frame, text1, text2 FROM z")
+def _(g):
+    return points.proposition_wording(g, points.propositions(g)).drop("question_yn")
+
+
+@query("nl_proposition_questions", _WORDED + " SELECT c1, relation, c2, replace(replace(replace(coalesce(question_yn, frame || '?'), '{%}', ''), '{1}', '[[' || text1 || ']]'), '{2}', '[[' || text2 || ']]') AS question FROM z")
+def _(g):
+    return points.proposition_questions(g, points.propositions(g))
+
+
+@query(
+    "jn_rated_objects",
+    """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation, c1, c2, freq ORDER BY score DESC, frame_id) AS rn FROM raws) WHERE rn = 1 AND relation = 'CapableOf'),
+o AS (SELECT c1, c2, 'assertion' AS kind, relation || '|' || c1 || '|' || c2 || '|' || freq AS object, relation || '(' || c1 || ', ' || c2 || ')[' || freq || ']' AS words, score FROM assertions WHERE relation = 'CapableOf'
+  UNION ALL SELECT c1, c2, 'raw_assertion', relation || '|' || c1 || '|' || c2 || '|' || freq || '|' || frame_id, replace(replace(replace(frame, '{%}', ''), '{1}', trim(surface1)), '{2}', trim(surface2)), score FROM best)
+SELECT kind, object, user_id, vote, CASE WHEN vote = 1 THEN 'For' ELSE 'Against' END AS label, words, score FROM votes v JOIN o ON o.c1 = v.c1 AND o.c2 = v.c2""",
+)
+def _(g):
+    return points.rated_objects(g, "For,Against")
+
+
+@query("fn_confirm_messages", """ SELECT DISTINCT c1, CASE WHEN vote = 1 THEN 'Confirm <strong>up</strong> vote for <strong>' || c1 || ' &amp; &lt;others&gt;</strong>.' ELSE 'Confirm clearing your vote for <strong>' || c1 || ' &amp; &lt;others&gt;</strong>.' END AS message FROM votes""")
+def _(g):
+    named = g.votes.select("c1", F.when(F.col("vote") == 1, "up").otherwise("clear").alias("d")).distinct()
+    return named.select("c1", points.confirm_message(F.concat("c1", F.lit(" & <others>")), F.col("d")).alias("message"))
+
+
+_TABLES = {
+    "vote": ("votes", "c1,c2,user_id,vote"),
+    "raw_assertion": ("raws", "assertion_score,c1,c2,creator,frame,frame_id,freq,goodness,relation,score,surface1,surface2,value"),
+    "frame": ("frames", "frame_id,freq,goodness,question_yn,relation,text"), "surface_form": ("surfaces", "concept,surface,use_count"), "assertion": ("assertions", "c1,c2,freq,relation,score,value"),
+    "relation": ("relations", "name"), "frequency": ("frequencies", "text,value"), "concept": ("concepts", "num_assertions,text,visible,words"), "language": ("languages", "id,name,sentence_count"),
+    "sentence": ("(SELECT DISTINCT replace(replace(replace(frame, '{%}', ''), '{1}', trim(surface1)), '{2}', trim(surface2)), creator, score FROM raws)", "creator,score,text"),
+    "user": ("(SELECT DISTINCT user_id FROM votes)", "date_joined,email,first_name,is_active,is_staff,is_superuser,last_login,last_name,password,user_id,username"),
+    "content_type": ("(VALUES (1), (2), (3))", "name"), "activity": ("(VALUES (1), (2))", "name"), "batch": ("(SELECT 1 WHERE false)", "batch,created,progress_den,progress_num,remarks,status,updated"),
+}
+
+
+@query("snk_dump", " " + " UNION ALL ".join(f"""SELECT '{name}' AS "table", count(*) AS rows, '{columns}' AS columns FROM {source} AS t""" for name, (source, columns) in _TABLES.items()))
+def _(g):
+    return exports.dump(g, store.fresh(g.spark, "dump"))
+
+
+@query("snk_dump_users", " SELECT DISTINCT user_id, 'user_' || user_id AS username, '' AS email, 'X' AS password, TIMESTAMP '1969-12-31 19:00:00' AS last_login, false AS is_staff FROM votes")
+def _(g):
+    path = store.fresh(g.spark, "users")
+    exports.tables(g)["user"].write.parquet(path)
+    back = g.spark.read.parquet(path)
+    return back.select("user_id", "username", "email", "password", F.col("last_login").cast("timestamp_ntz").alias("last_login"), "is_staff")

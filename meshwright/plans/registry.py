@@ -279,12 +279,18 @@ def _(g):
     return maintenance.unique_links(g)
 
 
-_MOVE = "CASE WHEN {0} = 'NATION_3' THEN 'NATION_4' ELSE {0} END"
-
-
-@query("wrt_move_concept", f"SELECT relation, {_MOVE.format('c1')} AS c1, {_MOVE.format('c2')} AS c2, freq, value, CAST(sum(score) AS BIGINT) AS score FROM assertions GROUP BY 1, 2, 3, 4, 5")
-def _(g):
-    return maintenance.move_concept(g, "NATION_3", "NATION_4")
+@query(
+    "wrt_move_concept",
+    """, t AS (SELECT 'Supplier#000000001' AS old, 'Supplier#000000002' AS new),
+v AS (SELECT user_id, CASE WHEN c1 = old THEN new ELSE c1 END AS c1, c2, vote, c1 <> old AS there FROM votes, t),
+w AS (SELECT c1, c2, vote FROM (SELECT *, row_number() OVER (PARTITION BY user_id, c1, c2 ORDER BY there DESC) AS rn FROM v) WHERE rn = 1),
+s AS (SELECT c1, c2, CAST(sum(vote) AS BIGINT) AS total FROM w GROUP BY c1, c2),
+a AS (SELECT relation, CASE WHEN c1 = old THEN new ELSE c1 END AS c1, CASE WHEN c2 = old THEN new ELSE c2 END AS c2, freq, value, score, c1 <> old AND c2 <> old AS there FROM assertions, t),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY relation, c1, c2, freq ORDER BY there DESC, score DESC) AS rn FROM a) WHERE rn = 1)
+SELECT relation, b.c1, b.c2, freq, value, CASE WHEN relation = 'CapableOf' THEN coalesce(total, 0) ELSE score END AS score FROM b LEFT JOIN s ON s.c1 = b.c1 AND s.c2 = b.c2""",
+)
+def _(g):
+    return maintenance.move_concept(g, "Supplier#000000001", "Supplier#000000002")
 
 
 @query("wrt_implicit_votes", """, f AS (SELECT c1, c2, min(user_id) AS user_id FROM votes GROUP BY c1, c2), a AS (SELECT c1, c2, user_id, 1 AS vote FROM f WHERE (c1, c2, user_id) NOT IN (SELECT c1, c2, user_id FROM votes WHERE vote = 1)),
