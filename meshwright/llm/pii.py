@@ -39,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_NATIONAL = re.compile(r"(?<![\w+])\(?0?[0-9]{2,4}\)?[ -/][0-9]{3,4}[ -][0-9]{3,5}(?![\w])")
+_NATIONAL = re.compile(r"(?<![\w+])\(?0?[0-9]{2,4}\)?[ /-][0-9]{3,4}[ -][0-9]{3,5}(?![\w])")
 #: Words near a span that make a kind likelier.
 _WORDS = {
     "email": ("mail", "email", "contact"),
