@@ -43,6 +43,8 @@ SIZE, PERCENT = 5, 75
 #: The list of frequent n-grams is bounded; a task reports n-grams of so many own nodes.
 FREQUENT, REPEATED = 100_000, 3
 FRAGMENTS = 8
+#: Buckets of more nodes pair these by kind.
+LARGE = 100
 #: A task sums up repeated n-grams whenever it holds so many.
 HELD = 4_000_000
 WORDS = 500_000
@@ -274,10 +276,9 @@ def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int
     first = cut(_linked(overlaps(docs, nodes, pairs, size, end), percent))
     roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.withColumns({"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram)}).where("low <> high")
-    mixed = cut(mixed.select("gram", "node", "n", "h", "i", "root"))
-    one = lambda x: mixed.select("gram", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "h", "i")), F.col("root").alias("r" + x))
-    across = one("a").join(one("b"), "gram").where("ra < rb").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
+    mixed = placed.withColumns({"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram), "many": F.count(F.lit(1)).over(by_gram) > LARGE}).where("low <> high")
+    mixed = cut(mixed.select("gram", "node", "n", "h", "i", "root", "many"))
+    across = _across(mixed.where("not many"), percent).unionByName(_across_large(mixed.where("many"), percent)).distinct()
     # a pair of step 2 may come in either order
     done = pairs.select("a", "b").union(pairs.select("b", "a"))
     across = cut(plausible(across.join(done, ["a", "b"], "left_anti"), buckets, percent))
@@ -285,6 +286,27 @@ def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int
     return cut(first.unionByName(second))
 
 
+def _one(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("gram", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "h", "i")), F.col("root").alias("r" + x))
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """a, na, b, nb: nodes of a bucket in different components that may be linked."""
+    return _one(mixed, "a").join(_one(mixed, "b"), "gram").where("ra < rb").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
+
+
+def _across_large(mixed: DataFrame, percent: int) -> DataFrame:
+    """The same for large buckets: whether a pair may be linked depends on sizes and places only, so these decide first.
+
+    A bucket's nodes of one size and place are a kind; kinds meet kinds, and only nodes of kinds that may be linked
+    meet. A template with another ending in each document makes a bucket of a few kinds, of which no two may.
+    """
+    kinds = lambda x: mixed.select("gram", *(F.col(c).alias(c + x) for c in ("n", "h", "i"))).distinct()
+    fit = kinds("a").join(kinds("b"), "gram").where(_may_start(percent))
+    near = _one(mixed, "a").join(fit, ["gram", "na", "ha", "ia"]).join(_one(mixed, "b"), ["gram", "nb", "hb", "ib"])
+    return near.where("ra < rb").select("a", "na", "b", "nb").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     reports = cut(survey(docs, size))

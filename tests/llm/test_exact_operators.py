@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF
-from meshwright.llm import centroids, fim, queries, topk_search
+from meshwright.llm import centroids, fim, line_dedup, ngram_join, pii, queries, topk_search
 
 VECS = "vec_id long, embedding array<float>"
 
@@ -206,3 +206,42 @@ def test_partial_distances_find_the_nearest():
             cluster, distance = centroids.nearest(x, c, rng.permutation(20), chunk)
             every = ((x[:, None] - c) ** 2).sum(2)
             assert (cluster == every.argmin(1)).all() and (distance == every.min(1)).all()
+
+
+# near copies with a template that many rows share, and signs between digits
+
+
+def test_templates_with_unique_ends_make_no_pairs(spark, monkeypatch):
+    """Hot buckets whose kinds can't reach the bound cost no pairs; real copies in the same buckets are found."""
+    rows = [(i, f"the page you want was not found x{i}") for i in range(400)]
+    rows += [(1000 + i, f"see the page you want here and there once more or never again at all {'tail ' * 12}{i // 2}") for i in range(40)]
+    rows += [(2000 + i, f"a line of ten words that ends in other ways w{i % 7} v{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    similar = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if 4 * len(x & y) >= 3 * len(x | y)]
+    root = {i: i for i, _ in rows}
+    for a, b in sorted(similar) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    gone = set()
+    for (i, x), k in zip(sets, range(len(sets))):
+        if any(4 * len(x & y) >= 3 * len(x | y) for _, y in sets[:k]):
+            gone.add(i)
+    for large in (3, 100, 10_000):
+        monkeypatch.setattr(ngram_join, "LARGE", large)
+        monkeypatch.setattr(line_dedup, "LARGE", large)
+        assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()} == root
+        assert {r.doc_id for r in line_dedup.removed_lines(df).collect()} == gone
+    hot = spark.createDataFrame([("g", i, 4, 2, 1, i) for i in range(500)], "gram string, node int, n int, h int, i int, root int")
+    assert ngram_join._across_large(hot, 75).count() == 0
+
+
+def test_national_numbers_have_one_of_three_signs():
+    for text in ("call now: 1999!123 4567", "phone 030.1234 56789", "call 0123,456 7890", "tel 030'1234 56789"):
+        assert not [s for s in pii.find(text) if s[0] == "local_phone"]
+    for text in ("phone 030 1234 56789", "phone 030/1234 56789", "phone 030-1234-56789"):
+        assert [s for s in pii.find(text) if s[0] == "local_phone"]
