@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
 from meshwright.operators import lookups
-from meshwright.sources.graph import HIDDEN, Graph
+from meshwright.sources.graph import HIDDEN, ORDER, Graph
 
 
 def denormalised(g: Graph) -> DataFrame:
@@ -55,6 +55,25 @@ def raw_rows(g: Graph) -> DataFrame:
     return g.raws.withColumns({"id": key, "text": fn.fill_in(F.col("frame"), F.trim("surface1"), F.trim("surface2"))})
 
 
+def dated_sentences(g: Graph) -> DataFrame:
+    """Sentences with when and by what they came: a voted one with its first vote, as a statement or a denial; others by import, undated."""
+    first = F.min_by(F.struct("vote", "l_shipdate"), F.struct(*ORDER)).alias("x")
+    born = g.vote_log.groupBy("c1", "c2").agg(first).select(F.lit("CapableOf").alias("relation"), "c1", "c2", F.col("x.l_shipdate").alias("created_on"), F.when(F.col("x.vote") > 0, "statement").otherwise("denial").alias("activity"))
+    rows = raw_rows(g).join(born, ["relation", "c1", "c2"], "left")
+    return rows.select("id", "creator", "created_on", F.coalesce("activity", F.lit("import")).alias("activity"), "text")
+
+
+def addresses(g: Graph) -> DataFrame:
+    """kind, address and short text of assertions, raw assertions and concepts."""
+    path = lambda kind, key: F.concat(F.lit(f"/en/{kind}/"), F.replace(fn.quoted(key), F.lit("%20"), F.lit("+")), F.lit("/")).alias("url")
+    key = F.concat_ws("|", "relation", "c1", "c2", "freq")
+    a = g.useful.select(F.lit("assertion").alias("kind"), path("assertion", key), F.format_string("%s(%s, %s)[%s]", "relation", "c1", "c2", "freq").alias("text"))
+    raw = F.concat_ws("|", key, F.col("frame_id").cast("string"))
+    r = g.raws.select(F.lit("raw_assertion").alias("kind"), path("raw_assertion", raw), F.format_string("en: ('%s' %s '%s') s=%d", "surface1", "relation", "surface2", "score").alias("text"))
+    c = g.concepts.select(F.lit("concept").alias("kind"), path("concept", F.col("text")), F.format_string("<en: %s>", "text").alias("text"))
+    return a.unionByName(r).unionByName(c)
+
+
 def gml(g: Graph) -> DataFrame:
     """A line of GML for each node and each edge of the network."""
     edges = g.useful.where("c1 <> c2")

@@ -444,6 +444,34 @@ def tag_probabilities(tagged: DataFrame) -> DataFrame:
     return kept.groupBy("word", "tag").agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("word", "tag", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+#: Tags of closed classes, the weight of a word not seen and its split, and that of the possessive.
+CLOSED = ["RB", "MD", "DO"]
+SMOOTHING, UNSEEN, POSSESSIVE = 0.01, (("NN", 0.9), ("VB", 0.1)), 5000.0
+
+
+def unigram_probabilities(tagged: DataFrame, lexicon: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """word, tag and share over tagged texts (`at`, their place in reading order, and `text` of word/TAG) and a lexicon (word, tag) read after them.
+
+    Tags of closed classes count only where the lexicon has them. Every word has a little of the tags of unseen
+    words. The total grows by `smoothing` with each occurrence of a word that hasn't counted before: once for a
+    word that counts, and for each closed occurrence until then. The possessive has one tag of fixed weight.
+    """
+    each = tagged.select(F.col("at").alias("text_at"), F.posexplode(F.split("text", " ")).alias("place", "t")).where("instr(t, '/') > 0")
+    seen = each.select(F.struct("text_at", "place").alias("at"), F.lower(F.regexp_extract("t", "^(.*)/([^/]*)$", 1)).alias("word"), F.regexp_extract("t", "^(.*)/([^/]*)$", 2).alias("tag"))
+    closed = F.col("tag").isin(CLOSED)
+    first = seen.where(~closed).groupBy("word").agg(F.min("at").alias("first"))
+    waiting = seen.where(closed).join(first, "word", "left").where("first is null or at < first").groupBy("word").agg(F.count("*").alias("waited"))
+    open_ = seen.where(~closed).select("word", "tag").unionByName(lexicon.select("word", "tag"))
+    counted = open_.groupBy("word", "tag").agg(F.count("*").cast("double").alias("n"))
+    words = counted.select("word").distinct().withColumn("once", F.lit(1)).join(waiting, "word", "full_outer")
+    entered = words.agg(F.sum(F.coalesce("once", F.lit(0)) + F.coalesce("waited", F.lit(0))).alias("entered"))
+    total = counted.agg(F.sum("n").alias("n")).join(entered, F.lit(True)).select((F.coalesce("n", F.lit(0.0)) + smoothing * F.coalesce("entered", F.lit(0))).alias("total"))
+    unseen = words.select("word", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(smoothing * w).alias("n")) for t, w in UNSEEN])).alias("u")).select("word", "u.*")
+    shares = counted.unionByName(unseen).where("word <> '\\'s'").groupBy("word", "tag").agg(F.sum("n").alias("n"))
+    own = total.where("total > 0").select(F.lit("'s").alias("word"), F.lit("POS").alias("tag"), F.lit(POSSESSIVE).alias("n"))
+    return shares.unionByName(own).join(F.broadcast(total), F.lit(True)).select("word", "tag", (F.col("n") / F.col("total")).alias("share"))
+
+
 def loaded(sentences: DataFrame, user_id: int = 0, at: int = 0) -> DataFrame:
     """What the sentences say, as statements to write with `writes.state`; equal texts are left out."""
     rows = statements(sentences).where("text1 is not null and text2 is not null and text1 <> text2")

@@ -299,6 +299,15 @@ def confirm_message(description: Column, direction: Column) -> Column:
     return F.when(direction == "clear", clear).otherwise(F.concat(F.lit("Confirm <strong>"), direction, F.lit("</strong> vote for <strong>"), safe, F.lit("</strong>.")))
 
 
+def vocabulary(g: Graph, dictionary: DataFrame, stop: tuple[str, ...] = ("a", "the")) -> DataFrame:
+    """Concepts with useful assertions whose every word is itself such a concept, and whose name's every word is a function word or in the dictionary (`word`)."""
+    kept = g.concepts.where("num_assertions > 0").select("text")
+    named = kept.join(lookups.best_surface(g).select(F.col("concept").alias("text"), F.col("canonical_name").alias("name")), "text")
+    own = kept.select("text", F.explode(F.split("text", " ")).alias("word")).join(kept.select(F.col("text").alias("word")), "word", "left_anti")
+    shown = named.select("text", F.explode(F.split(F.lower("name"), " ")).alias("word")).where(~F.col("word").isin(*stop)).join(dictionary.select("word").distinct(), "word", "left_anti")
+    return named.join(own.select("text").unionByName(shown.select("text")).distinct(), "text", "left_anti")
+
+
 def relation_ends(g: Graph) -> DataFrame:
     """The assertion with the least and the greatest key of each relation."""
     key = F.struct("c1", "c2", "freq")
@@ -308,7 +317,7 @@ def relation_ends(g: Graph) -> DataFrame:
 def sample(g: Graph, relation: str, n: int, seed: int = 1) -> DataFrame:
     """`n` random assertions of positive score of a relation; the same for the same seed, whatever the partitioning."""
     rows = g.assertions.where((F.col("relation") == relation) & (F.col("score") > 0))
-    return rows.select(*ASSERTION, "score").orderBy(F.xxhash64(*ASSERTION, F.lit(seed)), *ASSERTION).limit(n)
+    return rows.select(*ASSERTION, "score").orderBy(F.md5(F.concat_ws("|", *ASSERTION, F.lit(str(seed)))), *ASSERTION).limit(n)
 
 
 def adjacency(g: Graph, size: int = 1000) -> DataFrame:

@@ -115,7 +115,7 @@ def _(g):
     return points.resolve_normalised(g, g.spark.createDataFrame([("the EUROPE",), ("those europes",), ("nowhere",)], "text string"))
 
 
-@query("flt_no_best_raw", _BEST + " SELECT relation, c1, c2, freq FROM assertions a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.relation = a.relation AND b.c1 = a.c1 AND b.c2 = a.c2 AND b.freq = a.freq)")
+@query("flt_no_best_raw", _BEST + " SELECT a.relation, a.c1, a.c2, a.freq FROM assertions a LEFT JOIN (SELECT DISTINCT relation, c1, c2, freq FROM best) b ON b.relation = a.relation AND b.c1 = a.c1 AND b.c2 = a.c2 AND b.freq = a.freq WHERE b.c1 IS NULL")
 def _(g):
     best = lookups.best_raw(g).select(*points.ASSERTION, "frame_id")
     return g.assertions.join(best, points.ASSERTION, "left").where(F.col("frame_id").isNull()).select(*points.ASSERTION)
@@ -158,7 +158,7 @@ def _(g):
     return points.relation_ends(g)
 
 
-@query("srt_sample")
+@query("srt_sample", " SELECT relation, c1, c2, freq, score FROM assertions WHERE relation = 'AtLocation' AND score > 0 ORDER BY md5(relation || '|' || c1 || '|' || c2 || '|' || freq || '|1'), relation, c1, c2, freq LIMIT 10")
 def _(g):
     return points.sample(g, "AtLocation", 10)
 

@@ -269,7 +269,7 @@ def _(g):
     return maintenance.repoint_raws(g)
 
 
-@query("jn_dangling", "SELECT relation, c1, c2, freq FROM useful u WHERE NOT EXISTS (SELECT 1 FROM useful v WHERE v.c1 = u.c2)")
+@query("jn_dangling", "SELECT relation, u.c1, c2, freq FROM useful u LEFT JOIN (SELECT DISTINCT c1 FROM useful) v ON v.c1 = u.c2 WHERE v.c1 IS NULL")
 def _(g):
     return maintenance.dangling(g.useful.select("relation", "c1", "c2", "freq"), ["c2"], g.useful.select(F.col("c1").alias("c2"))).select("relation", "c1", "c2", "freq")
 
@@ -337,4 +337,4 @@ def _(g):
 
 
 # the other query modules register themselves
-from meshwright.plans import file_queries, graph_queries, job_queries, point_queries, stream_queries, write_queries  # noqa: E402, F401
+from meshwright.plans import derived_queries, file_queries, graph_queries, job_queries, point_queries, stream_queries, write_queries  # noqa: E402, F401
