@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwright.functions import scalars as fn
 from meshwright.functions import words
 from meshwright.operators import lookups
+from meshwright.sources import store
 from meshwright.sources.graph import Graph
 
 KEYS = {
@@ -321,9 +322,19 @@ def sample(g: Graph, relation: str, n: int, seed: int = 1) -> DataFrame:
 
 
 def adjacency(g: Graph, size: int = 1000) -> DataFrame:
-    """Neighbour lists of useful edges in both directions, in chunks of `size`, so that a hub is several bounded rows."""
+    """Neighbour lists of useful edges in both directions, in chunks of `size`, so that a hub is several bounded rows.
+
+    Edges are dealt by range, so a hub's lie in many partitions; an edge's place in its node's list is its place
+    within the partition and what the partitions before hold of that node. No task sees a whole hub.
+    """
     ends = F.array(F.struct(F.col("c1").alias("node"), F.lit("fwd").alias("direction"), F.col("c2").alias("other")), F.struct(F.col("c2").alias("node"), F.lit("rev").alias("direction"), F.col("c1").alias("other")))
     rows = g.useful.select("relation", F.explode(ends).alias("e")).select("e.*", "relation")
-    at = F.row_number().over(Window.partitionBy("node", "direction").orderBy("relation", "other")) - 1
-    rows = rows.withColumn("chunk", F.floor(at / size).cast("int"))
-    return rows.groupBy("node", "direction", "chunk").agg(F.array_sort(F.collect_list(F.concat_ws("/", "relation", "other"))).alias("edges"))
+    dealt = rows.repartitionByRange("node", "direction", "relation", "other").withColumn("part", F.spark_partition_id())
+    dealt = store.written(dealt, "adjacency")
+    held = dealt.groupBy("node", "direction", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("node", "direction").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("node", "direction", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("node", "direction", "part").orderBy("relation", "other")) - 1
+    placed = dealt.withColumn("inside", inside).join(before, ["node", "direction", "part"])
+    placed = placed.withColumn("chunk", F.floor((F.col("before") + F.col("inside")) / size).cast("int"))
+    return placed.groupBy("node", "direction", "chunk").agg(F.array_sort(F.collect_list(F.concat_ws("/", "relation", "other"))).alias("edges"))

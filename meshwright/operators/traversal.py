@@ -191,44 +191,44 @@ def all_projections(g: Graph, origins: dict[str, float], **more) -> DataFrame:
     return out
 
 
-def related(g: Graph, root: str, expansions: int = 101, levels: int = 10, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def related(g: Graph, root: str, expansions: int = 101, levels: int | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """node, weight, level: what level-by-level expansion from a root reaches, in at most `expansions` expanded nodes.
 
     A node's weight is its cell's value over the level, times its parent's weight and the relation's.
     A node met again takes the mean of old and new, the new one's part being 1 / (2 (d + 1)) where
     d is how many levels lie between. Within a level parents count by their order, with the weights they
     had when it began, and a parent's edges by relation, name and frequency.
+
+    What is reached is a table that each level writes anew; only the nodes to be expanded next, at most
+    `expansions` in all, come to the driver.
     """
     value = fn.edge_value(F.col("score"), F.col("value"))
     edges = g.useful.select(F.col("c1").alias("parent"), "relation", F.col("c2").alias("node"), "freq", value.alias("v"), _weight(weights).alias("w")).where("v > 0 and w > 0")
-    known: dict[str, tuple[float, int]] = {}
-    weight, seen, queue, level = {root: 1.0}, set(), [root], 0
-    while queue and len(seen) < expansions and level < levels:
+    scratch = store.Scratch(g.spark)
+    known = scratch.written(g.spark.createDataFrame([], "node string, weight double, level int"), "known")
+    seen, queue, level = set(), [(root, 1.0)], 0
+    while queue and (levels is None or level < levels):
         level += 1
-        now = [n for n in dict.fromkeys(queue) if n not in seen][: expansions - len(seen)]
-        seen.update(now)
-        frontier = g.spark.createDataFrame([(n, i, weight[n]) for i, n in enumerate(now)], "parent string, place int, pw double")
+        seen.update(n for n, _ in queue)
+        frontier = g.spark.createDataFrame([(n, i, w) for i, (n, w) in enumerate(queue)], "parent string, place int, pw double")
         rows = edges.join(F.broadcast(frontier), "parent")
         # a node has at most a few edges from each of the frontier's bounded number of parents
         part = F.struct("place", "relation", "freq", (F.col("v") / level * F.col("pw") * F.col("w")).alias("x"))
         merged = rows.groupBy("node").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        queue = []
-        for r in merged.select("node", "parts").orderBy(F.expr("parts[0]"), "node").limit(FRONTIER).collect():
-            for p in r.parts:
-                new = p.x
-                if r.node in known:
-                    old, at = known[r.node]
-                    share = 1.0 / (2 * (level - at + 1))
-                    new = share * new + (1 - share) * old
-                known[r.node] = (new, level)
-                weight[r.node] = new
-            queue.append(r.node)
-    rows = sorted(((n, round(w, 6), at) for n, (w, at) in known.items()), key=lambda x: (x[1], x[0]), reverse=True)
-    return g.spark.createDataFrame(rows, "node string, weight double, level int")
-
-
-#: Nodes that one level may bring to the driver.
-FRONTIER = 100_000
+        state = lambda w, at: F.struct(w.alias("weight"), at.cast("int").alias("level"))
+
+        def met(s, p):
+            share = 1 / (2 * (F.lit(level) - s.level + 1))
+            return F.when(s.level.isNull(), state(p.x, F.lit(level))).otherwise(state(share * p.x + (1 - share) * s.weight, F.lit(level)))
+
+        both = known.join(merged, "node", "full_outer")
+        folded = F.aggregate(F.coalesce("parts", F.array().cast(merged.schema["parts"].dataType)), state(F.col("weight"), F.col("level")), met)
+        after = scratch.written(both.select("node", folded.alias("s"), F.get("parts", F.lit(0)).alias("first")).select("node", "s.weight", "s.level", "first"), "known")
+        fresh = after.where(F.col("first").isNotNull() & ~F.col("node").isin(list(seen))).orderBy("first", "node")
+        queue = [(r.node, r.weight) for r in fresh.select("node", "weight", "first").limit(max(0, expansions - len(seen))).collect()]
+        known = after.drop("first")
+    rounded = known.select("node", F.round("weight", 6).alias("weight"), "level")
+    return rounded.orderBy(F.desc("weight"), F.desc("node"))
 
 
 def node_edges(g: Graph, node: str, limit: int = 1000) -> DataFrame:

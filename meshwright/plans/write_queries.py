@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from meshwright.functions import scalars as fn
@@ -90,7 +92,11 @@ def _(g):
 
 @query("wrt_without_user_on", " SELECT c1, c2, CAST(sum(vote) AS BIGINT) AS score FROM votes WHERE user_id <> 7 GROUP BY c1, c2")
 def _(g):
-    return g.votes.where("user_id <> 7").groupBy("c1", "c2").agg(F.sum("vote").alias("score"))
+    name = F.concat_ws("|", F.lit("CapableOf"), "c1", "c2")
+    cast = g.votes.select(F.lit("assertion").alias("kind"), name.alias("object"), "user_id", "vote", F.lit(1).cast("long").alias("at"))
+    base = writes.without_user_on(replace(writes.empty(g.spark), votes=cast), 7, "CapableOf")
+    part = F.split("object", r"\|")
+    return writes.scores(base, "assertion").select(part[1].alias("c1"), part[2].alias("c2"), "score")
 
 
 @query("wrt_unswitch", " SELECT * FROM (VALUES (1, 'a dog', 'the barking', false), (2, 'dogs', 'bark', true), (3, 'x', 'x', false)) AS t(id, text1, text2, swapped)", graph=False)
