@@ -83,7 +83,23 @@ def _(g):
     return traversal.activate(g, {HUB: 1.0})
 
 
-@query("gra_related")
+def _related_sql(root: str, expansions: int = 101, levels: int = 7) -> str:
+    """More levels than the graph is deep; a level halves a node's weight with each further part."""
+    parts = [f""", e AS MATERIALIZED (SELECT * FROM (SELECT c1 AS parent, relation, c2 AS node, freq, value / 10.0 * log2(greatest(score + 1, 1)) AS v, {_DEFAULT} AS w FROM useful) WHERE v > 0 AND w > 0),
+f1 AS (SELECT '{root}' AS node, 0 AS place, 1.0::DOUBLE AS pw), s1 AS (SELECT node FROM f1), k0 AS (SELECT '' AS node, 0.0::DOUBLE AS w, 0 AS lev WHERE false)"""]
+    fold = "list_reduce({}, lambda a, b: 0.5 * b + 0.5 * a)"
+    for n in range(1, levels + 1):
+        share = f"(1.0 / (2 * ({n} - k.lev + 1)))"
+        parts.append(f"""r{n} AS (SELECT e.node, place, relation, freq, v / {n} * pw * w AS x FROM e JOIN f{n} ON e.parent = f{n}.node),
+m{n} AS MATERIALIZED (SELECT node, list(x ORDER BY place, relation, freq, x) AS xs, min(struct_pack(place := place, relation := relation, freq := freq, x := x)) AS first FROM r{n} GROUP BY node),
+k{n} AS MATERIALIZED (SELECT coalesce(m.node, k.node) AS node, CASE WHEN m.node IS NULL THEN k.w WHEN k.node IS NULL THEN {fold.format("xs")} ELSE {fold.format(f"list_prepend({share} * xs[1] + (1 - {share}) * k.w, xs[2:])")} END AS w,
+  CASE WHEN m.node IS NULL THEN k.lev ELSE {n} END AS lev FROM k{n - 1} k FULL JOIN m{n} m ON m.node = k.node),
+f{n + 1} AS MATERIALIZED (SELECT * FROM (SELECT m.node, row_number() OVER (ORDER BY first, m.node) - 1 AS place, w AS pw FROM m{n} m JOIN k{n} k ON k.node = m.node WHERE m.node NOT IN (SELECT node FROM s{n})) WHERE place < {expansions} - (SELECT count(*) FROM s{n})),
+s{n + 1} AS MATERIALIZED (SELECT node FROM s{n} UNION SELECT node FROM f{n + 1})""")
+    return ",\n".join(parts) + f" SELECT node, round(w, 6) AS weight, lev AS level FROM k{levels}"
+
+
+@query("gra_related", _related_sql(HUB))
 def _(g):
     return traversal.related(g, HUB)
 
@@ -157,7 +173,15 @@ def _(g):
     return matrix.near_anchor(g.table("embeddings"), 1, 0.2).withColumn("cosine", F.round("cosine", 5))
 
 
-@query("mat_blend")
+@query(
+    "mat_blend",
+    _NORMALISED
+    + """, x AS (SELECT DISTINCT p_name AS concept, 'right' AS direction, 'HasColor' AS relation, split_part(p_name, ' ', 1) AS other, 10.0::DOUBLE AS value FROM part WHERE split_part(p_name, ' ', 1) IN ('blue', 'red', 'green')),
+xr AS (SELECT concept, sqrt(sum(value * value)) AS r FROM x GROUP BY concept), xk AS (SELECT direction, relation, other, sqrt(sum(value * value)) AS k FROM x GROUP BY ALL),
+y AS (SELECT x.concept, x.direction, x.relation, x.other, value / sqrt(r * k) AS value FROM x JOIN xr USING (concept) JOIN xk USING (direction, relation, other))
+SELECT concept, direction, relation, other, round(sum(value) * 0.5, 5) AS value FROM (SELECT * FROM z UNION ALL SELECT * FROM y) GROUP BY concept, direction, relation, other""",
+)
 def _(g):
-    contexts = g.spark.createDataFrame([("blue anvil", "blue", 10), ("cold widget", "white", 10), ("cold widget", "blue", 10), ("red", "red", 50)], "word string, colour string, weight int")
-    return matrix.blend([(matrix.build_matrix(matrix.quads(g)), 0.5), (matrix.colour_cells(contexts), 0.5)])
+    named = g.table("part").select(F.col("p_name").alias("word"), F.split("p_name", " ")[0].alias("colour"), F.lit(10).alias("weight")).distinct()
+    contexts = named.where(F.col("colour").isin("blue", "red", "green"))
+    return matrix.blend([(matrix.build_matrix(matrix.quads(g)), 0.5), (matrix.colour_cells(contexts), 0.5)]).withColumn("value", F.round("value", 5))
