@@ -20,7 +20,9 @@ right links; frequent n-grams at its end keep shared passages out of the prefixe
    sum decides the link.
 4. Components of these links are found; buckets that still hold several components
    then pair all nodes of different components, so no link between components is
-   missed, and step 3 decides on them. Pairs within a component needn't be made.
+   missed, and step 3 decides on them. Pairs within a component needn't be made. Nodes
+   whose size and place let no link start with any size and place of their bucket leave
+   it first: a template with another ending in each text makes no pairs.
 
 Defined cases: without words or text a set is empty and the document is its own
 component; fewer than 5 words give one n-gram of all words; rows with a null doc_id
@@ -43,8 +45,6 @@ SIZE, PERCENT = 5, 75
 #: The list of frequent n-grams is bounded; a task reports n-grams of so many own nodes.
 FREQUENT, REPEATED = 100_000, 3
 FRAGMENTS = 8
-#: Buckets of more nodes pair these by kind.
-LARGE = 100
 #: A task sums up repeated n-grams whenever it holds so many.
 HELD = 4_000_000
 WORDS = 500_000
@@ -193,16 +193,20 @@ def _needed(percent: int) -> Column:
     return F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
 
 
-def _may_start(percent: int) -> Column:
+def _may(percent: int, na: Column, left_a: Column, nb: Column, left_b: Column) -> Column:
     """Sizes and places allow a link whose first shared n-gram this is.
 
-    `h` is how many n-grams of a node's prefix other nodes share, `i` how many of these
-    stand before. Behind a first shared n-gram at most the lesser number of them left,
-    and what follows the prefix, can be shared.
+    Behind a first shared n-gram at most the lesser number of shared ones left in the prefixes, and what
+    follows the prefix, can be shared.
     """
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    behind = F.least(F.col("ha") - F.col("ia"), F.col("hb") - F.col("ib")) + F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    return sizes & (behind >= _needed(percent))
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    behind = F.least(left_a, left_b) + F.ceil(F.greatest(na, nb) * percent / 100) - 1
+    return sizes & (behind >= F.ceil((na + nb) * percent / (100 + percent)))
+
+
+def _may_start(percent: int) -> Column:
+    """`h` is how many n-grams of a node's prefix other nodes share, `i` how many of these stand before."""
+    return _may(percent, F.col("na"), F.col("ha") - F.col("ia"), F.col("nb"), F.col("hb") - F.col("ib"))
 
 
 def plausible(pairs: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -276,9 +280,12 @@ def links(docs: DataFrame, nodes: DataFrame, end: tuple, size: int, percent: int
     first = cut(_linked(overlaps(docs, nodes, pairs, size, end), percent))
     roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.withColumns({"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram), "many": F.count(F.lit(1)).over(by_gram) > LARGE}).where("low <> high")
-    mixed = cut(mixed.select("gram", "node", "n", "h", "i", "root", "many"))
-    across = _across(mixed.where("not many"), percent).unionByName(_across_large(mixed.where("many"), percent)).distinct()
+    # nodes of one size and place are a kind; a node whose kind may be linked to none of its bucket's has no partner there
+    left = (F.col("h") - F.col("i")).alias("left")
+    bucket = {"low": F.min("root").over(by_gram), "high": F.max("root").over(by_gram), "kinds": F.collect_set(F.struct("n", left)).over(by_gram)}
+    mixed = placed.withColumns(bucket).where("low <> high").where(F.exists("kinds", lambda k: _may(percent, F.col("n"), F.col("h") - F.col("i"), k.n, k.left)))
+    mixed = cut(mixed.select("gram", "node", "n", "h", "i", "root"))
+    across = _across(mixed, percent)
     # a pair of step 2 may come in either order
     done = pairs.select("a", "b").union(pairs.select("b", "a"))
     across = cut(plausible(across.join(done, ["a", "b"], "left_anti"), buckets, percent))
@@ -295,18 +302,6 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
     return _one(mixed, "a").join(_one(mixed, "b"), "gram").where("ra < rb").where(_may_start(percent)).select("a", "na", "b", "nb").distinct()
 
 
-def _across_large(mixed: DataFrame, percent: int) -> DataFrame:
-    """The same for large buckets: whether a pair may be linked depends on sizes and places only, so these decide first.
-
-    A bucket's nodes of one size and place are a kind; kinds meet kinds, and only nodes of kinds that may be linked
-    meet. A template with another ending in each document makes a bucket of a few kinds, of which no two may.
-    """
-    kinds = lambda x: mixed.select("gram", *(F.col(c).alias(c + x) for c in ("n", "h", "i"))).distinct()
-    fit = kinds("a").join(kinds("b"), "gram").where(_may_start(percent))
-    near = _one(mixed, "a").join(fit, ["gram", "na", "ha", "ia"]).join(_one(mixed, "b"), ["gram", "nb", "hb", "ib"])
-    return near.where("ra < rb").select("a", "na", "b", "nb").distinct()
-
-
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     reports = cut(survey(docs, size))
