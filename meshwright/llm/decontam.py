@@ -7,8 +7,8 @@ normalised to the same form and scanned once. A hit's end offset is mapped back
 to word numbers, and from there to offsets in the original text.
 
 Defined cases: a null or empty text has no words and is never contaminated; an
-item without words (or null) has no window; a null item_id is ignored; equal
-windows of several items all count; repeated rows each get their own result.
+item without words (or null) has no window; an item without an id has hits but no name;
+equal windows of several items all count; repeated rows each get their own result.
 """
 
 from __future__ import annotations

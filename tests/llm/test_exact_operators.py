@@ -12,9 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF
-from meshwright.llm import centroids, fim, line_dedup, ngram_join, pii, queries, topk_search
+from meshwright.llm import ann, centroids, fim, line_dedup, ngram_join, pii, queries, topk_search
 
-VECS = "vec_id long, embedding array<float>"
+VECS, SF01 = "vec_id long, embedding array<float>", SF.replace("sf0.001", "sf0.01")
 
 
 @pytest.mark.parametrize("name", ["op11_topk_search", "op12_fill_in_middle", "op13_centroid_clustering"])
@@ -94,6 +94,15 @@ def test_cutoff_is_safe():
         assert cut * lists >= tau > (cut - 1) * lists  # lists of less than cut add up to less than tau
 
 
+def test_op8_recall_against_exact_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF01}/embeddings.parquet'")
+    want = {(q, v): s for q, _, v, s in con.execute(ann.EXACT).fetchall()}
+    got = {(r.query_id, r.vec_id): r.score for r in queries.QUERIES["op8_nearest_neighbours"](spark, SF01).collect()}
+    assert len(got) == len(want) and len(got.keys() & want.keys()) >= 0.95 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got.keys() & want.keys())
+
+
 # fill-in-middle
 
 TOKEN = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
