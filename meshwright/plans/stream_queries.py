@@ -20,13 +20,18 @@ def followed(votes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Files of a ship year, so that no task writes a whole one.
+FILES = 16
+
+
 def sliced(g, log: DataFrame) -> DataFrame:
-    """The vote log as a stream of files, one a ship year, in no special order."""
+    """The vote log as a stream of ship years, three at a time, in no special order."""
     path = store.fresh(g.spark, "log")
     year = F.coalesce(F.year("l_shipdate"), F.lit(0)).alias("slice")
-    log.select("*", year).repartition("slice").write.partitionBy("slice").parquet(path)
+    part = F.pmod(F.xxhash64("l_orderkey", "c1"), F.lit(FILES)).alias("part")
+    log.select("*", year, part).repartition("slice", "part").drop("part").write.partitionBy("slice").parquet(path)
     kept = g.spark.read.parquet(path)
-    return g.spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 3).parquet(path).drop("slice")
+    return g.spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 3 * FILES).parquet(path).drop("slice")
 
 
 _EVENTS = """WITH e AS (SELECT user_id, event_id % 97 AS object_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS vote, ts, event_id FROM events),

@@ -1,11 +1,13 @@
 """Votes as keyed state: scores and counts that change only by what comes in.
 
-Two stateful operators in a row, both `transformWithState` over RocksDB:
+Each micro-batch of the stream is one DataFrame job over what came in and what was kept of the batches
+before: the last vote of each user on each object with its place in the order, and deletions.
 
-* `Tally`, by object and a salt of the user, keeps each user's last vote with its place in the
-  order and gives the group's net change of a batch. The salt splits an object that everyone
-  votes on, and what leaves a group is one row, however many votes it got.
-* `Score`, by object, keeps the score and gives (old, new) for the objects a batch touched.
+* Both are dealt by object and a salt of the user and sorted once; the last vote of each user, the
+  object's deletion and the vote that was known before follow from that order. The salt splits an object that
+  everyone votes on.
+* What is kept goes to a table of the batch's number in the checkpoint folder, and the objects whose score or
+  voters differ, as (old, new), to the batch's folder of the log. A batch that runs again writes both anew.
 
 Late votes lose against later ones that are known already, a vote that comes twice changes
 nothing, a vote of 0 takes back but stays known, and a row without a user deletes the object: votes up to
@@ -17,126 +19,60 @@ move only where a score crosses 0, so they are sums over the change log.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+
+from meshwright.sources import store
 
 SALTS = 16
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class Tally(StatefulProcessor):
-    """The last vote of each user of a group, and the group's net change."""
-
-    def __init__(self, keys: list[str], user: str, order: str, places: int):
-        self.keys, self.user, self.order, self.places = len(keys), user, order, places
-        self.out = Row(*keys, "score", "voters")
-
-    def init(self, handle) -> None:
-        self.votes = handle.getMapState("votes", self.user, f"vote int, {self.order}")
-        self.deleted = handle.getValueState("deleted", self.order)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last, deletion = {}, None
-        for r in rows:
-            at = tuple(r[-self.places :])
-            user, vote = r[self.keys + 1], r[self.keys + 2]
-            if user is None:
-                deletion = at if deletion is None else max(deletion, at)
-            elif user not in last or last[user][0] < at:
-                last[user] = at, vote
-        score = voters = 0
-        known = self.deleted.get()
-        known = tuple(known) if known is not None else None
-        if deletion is not None and (known is None or known < deletion):
-            known = deletion
-            self.deleted.update(deletion)
-            held = [(tuple(u), tuple(v)) for u, v in self.votes.iterator()]
-            self.votes.clear()
-            for user, (vote, *at) in held:
-                if tuple(at) > deletion:
-                    self.votes.updateValue(user, (vote, *at))
-                else:
-                    score, voters = score - vote, voters - (vote != 0)
-        for user, (at, vote) in last.items():
-            if known is not None and at <= known:
-                continue
-            old = self.votes.getValue((user,))
-            if old is None or tuple(old)[1:] < at:
-                before = 0 if old is None else old[0]
-                score, voters = score + vote - before, voters + (vote != 0) - (before != 0)
-                self.votes.updateValue((user,), (vote, *at))
-        if score or voters:
-            yield self.out(*key[: self.keys], score, voters)
-
-    def close(self) -> None:
-        pass
-
-
-class Score(StatefulProcessor):
-    """The score of an object, before and after a batch."""
-
-    def __init__(self, keys: list[str]):
-        self.out = Row(*keys, "old_score", "new_score", "old_voters", "new_voters")
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("score", "score long, voters long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.state.get()
-        score, voters = tuple(old) if old is not None else (0, 0)
-        before = score, voters
-        for r in rows:
-            score, voters = score + r[-2], voters + r[-1]
-        if (score, voters) != before:
-            self.state.update((score, voters))
-            yield self.out(*key, before[0], score, before[1], voters)
-
-    def close(self) -> None:
-        pass
-
-
-def _ddl(fields: list[T.StructField]) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-
-
-def changes(votes: DataFrame, keys: list[str], order: list[str], salts: int = SALTS) -> DataFrame:
-    """The objects (`keys`) that a stream of votes (keys, user_id, vote, order columns) changes: old and new score and number of voters.
-
-    A row without a user_id deletes its object, in every salt. Times count in microseconds.
+
+
+def tallied(votes: DataFrame, kept: DataFrame | None, keys: list[str], order: list[str], salts: int = SALTS) -> DataFrame:
+    """The last vote of each user on each object (`keys`) after a batch of votes (keys, user_id, vote, order columns), given those kept before.
+
+    `was` is the vote that counted before, `vote` the one that counts now, 0 where there is none, and `stays` is false
+    for votes that a deletion took. A row without a user_id deletes its object, in every salt.
     """
-    plain = lambda c: F.unix_micros(c).alias(c) if isinstance(votes.schema[c].dataType, T.TimestampType) else F.col(c)
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
     one = F.array(F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int"))
-    salt = F.explode(F.when(F.col("user_id").isNull(), every).otherwise(one)).alias("salt")
-    rows = votes.select(*keys, salt, "user_id", F.col("vote").cast("int").alias("vote"), *(plain(c) for c in order))
-    fields = rows.schema
-    objects, places = _ddl([fields[k] for k in keys]), [fields[c] for c in order]
-    tally = Tally(keys, _ddl([fields["user_id"]]), _ddl(places), len(order))
-    moved = rows.groupBy(*keys, "salt").transformWithState(tally, f"{objects}, score long, voters long", "append", "None")
-    return moved.groupBy(*keys).transformWithState(Score(keys), f"{objects}, old_score long, new_score long, old_voters long, new_voters long", "append", "None")
-
-
-@contextmanager
-def _rocks(spark: SparkSession):
-    """Keyed state of this kind needs the store that keeps it on disk; a query takes the setting when it starts."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    salt = F.explode(F.when(F.col("user_id").isNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(one)).alias("salt")
+    columns = [*keys, "salt", "user_id", "vote", *order]
+    rows = votes.select(*keys, salt, "user_id", F.col("vote").cast("int").alias("vote"), *order).select(*columns, F.lit(None).cast("int").alias("was"))
+    if kept is not None:
+        rows = rows.unionByName(kept.where("stays").select(*columns, F.col("vote").alias("was")))
+    group = [*keys, "salt"]
+    last = F.max_by(F.struct("vote", *order), F.struct(*order, F.col("was").isNotNull(), "vote"))
+    # dealt before it is grouped, so that it is sorted once
+    each = rows.repartition(*group).groupBy(*group, "user_id").agg(last.alias("last"), F.coalesce(F.max("was"), F.lit(0)).alias("was"))
+    at, deletion = F.struct(*[F.col("last")[c] for c in order]), F.col("user_id").isNull()
+    each = each.withColumn("gone", F.max(F.when(deletion, at)).over(Window.partitionBy(*group)))
+    stays = deletion | F.col("gone").isNull() | (at > F.col("gone"))
+    vote = F.when(stays & ~deletion, F.col("last.vote")).otherwise(0)
+    return each.select(*group, "user_id", vote.alias("vote"), *[F.col("last")[c].alias(c) for c in order], "was", stays.alias("stays"))
+
+
+def changed(tally: DataFrame, keys: list[str]) -> DataFrame:
+    """The objects that a batch changed: old and new score and number of voters."""
+    count = lambda c: F.sum((F.col(c) != 0).cast("long"))
+    total = tally.groupBy(*keys).agg(F.sum("was").alias("old_score"), F.sum("vote").alias("new_score"), count("was").alias("old_voters"), count("vote").alias("new_voters"))
+    return total.where("old_score <> new_score or old_voters <> new_voters")
 
 
 def follow(votes: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, salts: int = SALTS) -> StreamingQuery:
-    """Appends the changes of everything that has come in to the log at `path`, each once; goes on at `checkpoint`."""
-    with _rocks(votes.sparkSession):
-        return changes(votes, keys, order, salts).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Writes the changes of everything that has come in to the log at `path`, each once; goes on at `checkpoint`."""
+
+    def folder(batch: int) -> str:
+        return f"{checkpoint}/kept/{batch}"
+
+    def run(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        kept = spark.read.parquet(folder(batch - 1)) if batch else None
+        tallied(rows, kept, keys, order, salts).write.mode("overwrite").parquet(folder(batch))
+        changed(spark.read.parquet(folder(batch)), keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if batch > 1:  # the one before is needed if this batch runs again
+            store.delete(spark, folder(batch - 2))
+
+    return votes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scores(log: DataFrame, keys: list[str]) -> DataFrame:

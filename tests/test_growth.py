@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from meshwright.operators import extraction
+from meshwright.streaming import ledger
 
 
 def test_sentences_of_one_shape_are_read_once():
@@ -19,3 +20,15 @@ def test_a_repeated_sentence_is_read_once_and_kept_as_often(spark):
     key = [F.coalesce(c, F.lit("-")) for c in ("sentence", "relation", "text1", "text2")]
     got, want = (sorted(tuple(r) for r in f(rows).select(*key).collect()) for f in (extraction.parsed_once, extraction.parsed))
     assert got == want and len(got) == 5
+
+
+def test_votes_are_kept_by_one_shuffle_without_python_and_null_places_come_first(spark, tmp_path):
+    schema = "a string, user_id long, vote int, t long, n long"
+    for rows in ([("x", 1, -1, None, 0), ("x", 1, 1, 3, 0), ("y", 2, 1, None, 1), ("y", None, 0, 9, 0)], [("x", 1, -1, None, 5), ("y", 2, 1, 9, 0), ("y", 3, 1, 9, 1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ledger.follow(source, ["a"], ["t", "n"], str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination(240)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert {tuple(r) for r in ledger.scores(log, ["a"]).collect()} == {("x", 1, 1), ("y", 1, 1)}
+    plan = ledger.tallied(spark.createDataFrame([], schema), None, ["a"], ["t", "n"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "transformWithState" not in plan
