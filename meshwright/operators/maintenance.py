@@ -46,8 +46,11 @@ def move_concept(g: Graph, old: str, new: str) -> DataFrame:
     total = voting.scores(votes, ["c1", "c2"]).select("c1", "c2", F.col("score").alias("voted"))
     to = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
     own = ((F.col("c1") != old) & (F.col("c2") != old)).alias("own")
-    rows = g.assertions.select("relation", to("c1"), to("c2"), "freq", "value", "score", own)
-    merged = rows.groupBy("relation", "c1", "c2", "freq", "value").agg(F.max_by("score", F.struct("own", "score")).alias("score"))
+    five = ["relation", "c1", "c2", "freq", "value"]
+    meets = F.coalesce(F.col("c1").isin(old, new), F.lit(False)) | F.coalesce(F.col("c2").isin(old, new), F.lit(False))  # the rest stays as it is
+    rows = g.assertions.where(meets).select("relation", to("c1"), to("c2"), "freq", "value", "score", own)
+    merged = rows.groupBy(*five).agg(F.max_by("score", F.struct("own", "score")).alias("score"))
+    merged = g.assertions.where(~meets).select(*five, "score").unionByName(merged)
     score = F.when(F.col("relation") == "CapableOf", F.coalesce("voted", F.lit(0))).otherwise(F.col("score"))
     return merged.join(total, ["c1", "c2"], "left").select("relation", "c1", "c2", "freq", "value", score.alias("score"))
 

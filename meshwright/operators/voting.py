@@ -44,8 +44,10 @@ def without_users(votes: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def moved_votes(votes: DataFrame, column: str, old: str, new: str, keys: list[str]) -> DataFrame:
     """Votes with `old` renamed to `new` in a key; of a user's votes that then meet, the one that was there stays."""
-    moved = votes.withColumns({"own": F.col(column) != old, column: F.when(F.col(column) == old, new).otherwise(F.col(column))})
-    return moved.groupBy("user_id", *keys).agg(F.max_by("vote", "own").alias("vote"))
+    meets = F.coalesce(F.col(column).isin(old, new), F.lit(False))
+    moved = votes.where(meets).withColumns({"own": F.col(column) != old, column: F.lit(new)})
+    moved = moved.groupBy("user_id", *keys).agg(F.max_by("vote", "own").alias("vote"))
+    return votes.where(~meets).select("user_id", *keys, "vote").unionByName(moved)
 
 
 def upvoters(votes: DataFrame, where) -> DataFrame:
