@@ -65,7 +65,7 @@ def identities(q: DataFrame, weight: float = 1.0) -> DataFrame:
 def build_matrix(q: DataFrame, cutoff: int = 5) -> DataFrame:
     """Summed feature cells of the rows and columns that have at least `cutoff` cells."""
     col = ["direction", "relation", "other"]
-    cells = store.written(to_features(q).groupBy("concept", *col).agg(F.sum("value").alias("value")), "cells")
+    cells = store.written(summed_cells(q), "cells")
     rows = cells.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)
     cols = cells.groupBy(*col).agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)
     return cells.join(rows, "concept", "left_semi").join(cols, col, "left_semi")
@@ -93,14 +93,15 @@ def squished(cells: DataFrame, cutoff: int = 5) -> DataFrame:
 
 
 def summed_cells(q: DataFrame) -> DataFrame:
-    """The feature cells of quads, equal ones summed."""
-    return to_features(q).groupBy("concept", "direction", "relation", "other").agg(F.sum("value").alias("value"))
+    """The feature cells of quads, equal ones summed: quads are summed first, as both cells of a quad equal only those of its like."""
+    return to_features(q.groupBy("c1", "relation", "c2").agg(F.sum("value").alias("value")))
 
 
 def normalised(cells: DataFrame) -> DataFrame:
     """Cells over the roots of their row's and column's lengths."""
     col = ["direction", "relation", "other"]
     square = F.sqrt(F.sum(F.col("value") ** 2))
+    cells = store.written(cells, "cells")  # read three times
     r = cells.groupBy("concept").agg(square.alias("r"))
     c = cells.groupBy(*col).agg(square.alias("c"))
     return cells.join(r, "concept").join(c, col).select("concept", *col, (F.col("value") / F.sqrt(F.col("r") * F.col("c"))).alias("value"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from meshwright.operators import extraction
+from conftest import SF
+from meshwright.operators import extraction, matrix, voting
+from meshwright.sources.graph import Graph
 from meshwright.streaming import ledger
 
 
@@ -32,3 +34,31 @@ def test_votes_are_kept_by_one_shuffle_without_python_and_null_places_come_first
     assert {tuple(r) for r in ledger.scores(log, ["a"]).collect()} == {("x", 1, 1), ("y", 1, 1)}
     plan = ledger.tallied(spark.createDataFrame([], schema), None, ["a"], ["t", "n"])._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "transformWithState" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_move_groups_only_the_votes_that_meet(spark):
+    votes = spark.createDataFrame([(1, "old", "x", 1), (1, "new", "x", -1), (2, "old", "x", 1), (3, None, "x", 1), (3, "far", "x", -1)], "user_id long, c1 string, c2 string, vote int")
+    moved = voting.moved_votes(votes, "c1", "old", "new", ["c1", "c2"])
+    assert {tuple(r) for r in moved.collect()} == {(1, "new", "x", -1), (2, "new", "x", 1), (3, None, "x", 1), (3, "far", "x", -1)}
+    grouped = _plan(moved).split("Aggregate")[-1]
+    assert "Filter" in grouped and "old,new" in grouped.replace(" ", "")
+
+
+def test_quads_are_summed_before_they_become_two_cells(spark):
+    quads = spark.createDataFrame([("a", "R", "b", 1.0), ("a", "R", "b", 2.0), ("b", "R", "a", 4.0), ("a", "R", "a", 8.0)], "c1 string, relation string, c2 string, value double")
+    cells = matrix.summed_cells(quads)
+    want = {("a", "right", "R", "b", 3.0), ("b", "left", "R", "a", 3.0), ("b", "right", "R", "a", 4.0), ("a", "left", "R", "b", 4.0), ("a", "right", "R", "a", 8.0), ("a", "left", "R", "a", 8.0)}
+    assert {tuple(r) for r in cells.collect()} == want and _plan(cells).find("Generate") < _plan(cells).find("Aggregate")
+
+
+def test_votes_are_sorted_once(spark):
+    g = Graph(spark, SF)
+    seen = []
+    g.stored = lambda name, build, by=None: seen.append(build()) or seen[0]
+    assert {r.freqs for r in g._user_votes.select("freqs").distinct().collect()} <= set(range(1, 8))
+    plan = _plan(seen[0])
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.find("Aggregate")] and plan.find("Exchange") > plan.rfind("Aggregate")
