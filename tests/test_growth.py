@@ -1,9 +1,11 @@
 """Work that must not grow faster than the tables: what is kept, read once or left out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF
-from meshwright.operators import extraction, matrix, voting
+from meshwright.llm import ngram_join, packing
+from meshwright.operators import extraction, matrix, spectral, voting
 from meshwright.sources.graph import Graph
 from meshwright.streaming import ledger
 
@@ -62,3 +64,28 @@ def test_votes_are_sorted_once(spark):
     assert {r.freqs for r in g._user_votes.select("freqs").distinct().collect()} <= set(range(1, 8))
     plan = _plan(seen[0])
     assert "Exchange" in plan and "Exchange" not in plan[: plan.find("Aggregate")] and plan.find("Exchange") > plan.rfind("Aggregate")
+
+
+def test_a_python_worker_keeps_few_words_and_pieces():
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1000)).encode() for at in range(0, 120_000, 1000)]
+    sets = ngram_join.shingle_sets(texts)
+    assert len(ngram_join._HASHES) <= 100_000 and packing.CACHE <= 200_000
+    again = ngram_join.shingle_sets(texts[:1])
+    assert (sets[0] == again[0]).all() and len(sets) == 120
+
+
+def test_what_a_product_sends_grows_with_the_names(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK", 64)
+    rng, met = np.random.default_rng(5), {}
+    for many in (256, 1024):
+        hubs = [(f"s{i}", f"hub{h}", 1.0 + (i * int(h)) % 7) for i in range(many) for h in rng.choice(20, 5, replace=False)]
+        cells = spark.createDataFrame(hubs + [(c, r, v) for r, c, v in hubs], "r string, c string, value double")
+        tiles = spectral.Tiles.of(cells, "r", "c", spectral.Scratch(spark))
+        met[many] = tiles.pairs["rb"].count()
+    assert met[1024] <= 4.5 * met[256]  # 16 times as many when hubs lie in all blocks
+    found = spectral.decompose(cells, "r", "c", 4)
+    names = {n: i for i, n in enumerate(sorted({r for r, _, _ in hubs} | {c for _, c, _ in hubs}))}
+    dense = np.zeros((len(names), len(names)))
+    for r, c, v in hubs:
+        dense[names[r], names[c]] = dense[names[c], names[r]] = v
+    assert np.allclose(found.values, np.linalg.svd(dense, compute_uv=False)[:4]) and found.rounds <= 2
