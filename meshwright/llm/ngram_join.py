@@ -47,7 +47,8 @@ FREQUENT, REPEATED = 100_000, 3
 FRAGMENTS = 8
 #: A task sums up repeated n-grams whenever it holds so many.
 HELD = 4_000_000
-WORDS = 500_000
+#: Words whose hashes a Python worker keeps; it lives on through the later stages of a pipeline.
+WORDS = 100_000
 
 
 class WordHash(dict):

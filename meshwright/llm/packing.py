@@ -40,7 +40,7 @@ END_ID = 2
 SENTENCE, INSIDE, GRID = 2, 24, 256
 BLOCK = 1 << 20
 #: Pieces that are kept with their ids, and pieces that are encoded at once.
-CACHE, ENCODED = 400_000, 10_000
+CACHE, ENCODED = 200_000, 10_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
