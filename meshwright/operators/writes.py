@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from meshwright.functions import words
 
 KEY = ["relation", "c1", "c2", "freq"]
+#: What a statement's vote is on.
+KINDS = ("sentence", "raw", "assertion")
 _RAW = "relation string, freq string, frame string, surface1 string, surface2 string, creator long"
 _VOTE = "kind string, object string, user_id long, vote int, at long"
 _EVENT = "user_id long, object string, activity string, at long"
@@ -32,7 +34,7 @@ class Invalid(ValueError):
 
 
 def empty(spark) -> Base:
-    make = lambda schema: spark.createDataFrame([], schema)
+    make = lambda schema: spark.createDataFrame([], schema).where(F.lit(False))  # noqa: E731  # known to be empty, so that no plan deals it
     return Base(make(_RAW), make(_VOTE), make("surface string, concept string"), make(_EVENT))
 
 
@@ -92,10 +94,28 @@ def state(base: Base, statements: DataFrame, activity: str = "statement") -> Bas
     first = first.select("x.relation", "x.freq", *key, "x.creator")
     raws = base.raws.unionByName(first.join(base.raws.select(*key), key, "left_anti").select(*base.raws.columns))
     out = replace(base, raws=raws, surfaces=surfaces)
-    said = linked(replace(out, raws=rows.select(*base.raws.columns, "vote", "at")))
-    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("object")) for kind in ("sentence", "raw", "assertion")])
+    rows = rows.select(*base.raws.columns, "vote", "at")
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("object")) for kind in KINDS])
+    said = linked(replace(out, raws=rows))
     votes = said.select(F.explode(each).alias("o"), F.col("creator").alias("user_id"), "vote", "at").select("o.*", "user_id", "vote", "at")
-    return vote(out, votes, activity)
+    done = vote(out, votes, activity)
+    told = _told(base, rows).withColumn("kind", F.explode(F.array(*map(F.lit, KINDS))))
+    named = F.coalesce(*[F.when(F.col("kind") == kind, F.col(kind)) for kind in KINDS])
+    events = told.select(F.col("creator").alias("user_id"), named.alias("object"), F.lit(activity).alias("activity"), F.col("at").cast("long").alias("at"))
+    return replace(done, events=base.events.unionByName(events))
+
+
+def _told(base: Base, rows: DataFrame) -> DataFrame:
+    """As `linked`, with the surfaces that `base` doesn't know at their normal forms: rows meet the surfaces that it knows, and nobody else's.
+
+    Events are a log that is mostly counted: without a look at `object`, neither forms nor names are made.
+    """
+    for i in "12":
+        known = base.surfaces.select(F.col("surface").alias(f"surface{i}"), F.col("concept").alias(f"c{i}"), F.lit(True).alias(f"known{i}"))
+        rows = rows.where(F.col(f"surface{i}").isNotNull()).join(known, f"surface{i}", "left")
+        rows = rows.withColumn(f"c{i}", F.when(F.col(f"known{i}"), F.col(f"c{i}")).otherwise(words.normal_form(F.col(f"surface{i}"))))
+    sentence = F.replace(F.replace("frame", F.lit("{1}"), F.col("surface1")), F.lit("{2}"), F.col("surface2"))
+    return rows.drop("known1", "known2").withColumns({"raw": raw_id(), "assertion": assertion_id(), "sentence": sentence})
 
 
 def scores(base: Base, kind: str) -> DataFrame:

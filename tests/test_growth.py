@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from meshwright.llm import ngram_join, packing
-from meshwright.operators import extraction, matrix, spectral, voting
+from meshwright.operators import extraction, matrix, spectral, voting, writes
 from meshwright.sources.graph import Graph
 from meshwright.streaming import ledger
 
@@ -77,15 +77,41 @@ def test_a_python_worker_keeps_few_words_and_pieces():
 def test_what_a_product_sends_grows_with_the_names(spark, monkeypatch):
     monkeypatch.setattr(spectral, "BLOCK", 64)
     rng, met = np.random.default_rng(5), {}
-    for many in (256, 1024):
+    for many in (300, 1200):
         hubs = [(f"s{i}", f"hub{h}", 1.0 + (i * int(h)) % 7) for i in range(many) for h in rng.choice(20, 5, replace=False)]
         cells = spark.createDataFrame(hubs + [(c, r, v) for r, c, v in hubs], "r string, c string, value double")
         tiles = spectral.Tiles.of(cells, "r", "c", spectral.Scratch(spark))
         met[many] = tiles.pairs["rb"].count()
-    assert met[1024] <= 4.5 * met[256]  # 16 times as many when hubs lie in all blocks
+    assert met[1200] <= 4.5 * met[300]  # 16 times as many when hubs lie in all blocks
     found = spectral.decompose(cells, "r", "c", 4)
     names = {n: i for i, n in enumerate(sorted({r for r, _, _ in hubs} | {c for _, c, _ in hubs}))}
     dense = np.zeros((len(names), len(names)))
     for r, c, v in hubs:
         dense[names[r], names[c]] = dense[names[c], names[r]] = v
     assert np.allclose(found.values, np.linalg.svd(dense, compute_uv=False)[:4]) and found.rounds <= 2
+
+
+def test_few_frames_are_tried_without_a_shuffle(spark, monkeypatch):
+    frames = spark.createDataFrame([(1, "{1} is {2}", 3), (2, "{1} is a {2}", 4), (3, "{1} is {%} made of {2}", 3), (4, "no {1} of {2}", 1), (5, None, 3)], "frame_id int, text string, goodness int")
+    said = spark.createDataFrame([("A dog is a pet.",), ("it is red",), ("",), (None,), ("no end of it",), ("it is  made of tin.",), ("it is red",)], "sentence string")
+    few = extraction.frame_matches(said, frames)
+    assert "Exchange" not in _plan(few) and "Join" not in _plan(few)
+    got = {r.sentence: tuple(r)[1:] for r in few.collect()}
+    monkeypatch.setattr(extraction, "FEW", 2)
+    many = extraction.frame_matches(said, frames)
+    assert got == {r.sentence: tuple(r)[1:] for r in many.collect()} and few.count() == 7 and few.schema == many.schema
+    assert got["A dog is a pet."] == (2, "A dog", "pet") and got["no end of it"] == (None, None, None)
+
+
+def test_events_of_statements_are_counted_without_dealing_the_votes(spark):
+    said = [(1, "IsA", "", "{1} is a {2}", "the dogs", "pet", 1, 1), (2, "IsA", "", "{1} is a {2}", "the dogs", "pet", -1, 2), (2, "IsA", "", "{1} is a {2}", "cat", None, 1, 3)]
+    rows = spark.createDataFrame(said, "user_id long, relation string, freq string, frame string, text1 string, text2 string, vote int, at long")
+    first = writes.state(writes.empty(spark), rows)
+    assert {tuple(r) for r in first.events.groupBy("user_id").count().collect()} == {(1, 3), (2, 3)}
+    plan = first.events.groupBy("user_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "regexp" not in plan
+    moved = writes.move_surfaces(first, spark.createDataFrame([("pet", "friend")], "surface string, concept string"))
+    again = writes.state(moved, rows.where("vote = 1")).events.where("activity = 'statement'")
+    key = ["user_id", "object", "at"]
+    want = [(1, o, 1) for o in ("the dogs is a pet", "{1} is a {2}|the dogs|pet", "IsA|dog|pet|", "IsA|dog|friend|")]
+    assert {tuple(r) for r in again.where("user_id = 1").select(*key).collect()} == set(want)
