@@ -112,6 +112,22 @@ def test_coloured_texts(spark):
     assert got == {i: "\n".join(map(block, t.split("\n"))) for i, t in texts if t is not None}
 
 
+def test_coloured_texts_of_frequent_and_rare_words(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, "\n".join(" ".join(words[(i * j * k) % 40] for k in range(1, 9)) for j in range(1, 5)) + "  unknown") for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    vectors = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate(words)], "concept string, v array<double>")
+    whole = {r.doc_id: r.html for r in colours.coloured_texts(df, vectors, UNITS).collect()}
+    monkeypatch.setattr(colours, "OFTEN", 3)
+    assert len(whole) == 20 and whole == {r.doc_id: r.html for r in colours.coloured_texts(df, vectors, UNITS).collect()}
+
+
+def test_a_colour_takes_one_pass_for_each_cosine(spark):
+    df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>").select(colours.mixed(F.col("v"), UNITS).alias("c"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= len(UNITS) + 1
+
+
 def test_colours_learned_from_a_blend(spark):
     rng = np.random.default_rng(2)
     graph = [(f"w{i}", "right", "IsA", f"k{j}", float(rng.random())) for i in range(12) for j in range(5) if rng.random() < 0.6]
