@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -115,6 +116,22 @@ def test_line_dedup_short_lines(spark):
     assert {(r.doc_id, r.line) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == gone
 
 
+def test_line_dedup_verifies_no_lines_that_share_only_a_phrase(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    phrases = [[f"p{rng.randrange(10**6)}" for _ in range(12)] for _ in range(8)]
+    for i in range(48):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(34)]
+        words[i % 30 : i % 30] = phrases[i % 8]
+        rows.append((i, " ".join(words)))
+    rows += [(50, rows[0][1] + " end"), (51, rows[1][1].upper())]
+    asked = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda docs, pairs: asked.append(pairs.count()) or verified(docs, pairs))
+    assert {r.doc_id for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == {50, 51}
+    assert sum(asked) == 1
+
+
 def test_line_dedup_edges(spark):
     rows = [*EDGE, (20, "a b c d e f\nkeep this one here now"), (21, "A b c d  e f\nother words stand in here")]
     out = line_dedup.dedup_lines(frame(spark, rows))
