@@ -132,6 +132,26 @@ def test_line_dedup_verifies_no_lines_that_share_only_a_phrase(spark, monkeypatc
     assert sum(asked) == 1
 
 
+def test_line_dedup_sets_are_made_of_asked_lines_only(spark, monkeypatch):
+    text = "\n".join(f"L{i} b c d e f\tg" for i in range(60))
+    df = frame(spark, [(1, text), (1, "one line"), (1, text), (2, "x y\n\nA b  c d e f"), (3, None), (None, text)])
+    asked = [(1, 7), (1, 59), (2, 2)]
+    found = {(r.doc_id, r.line): r for r in line_dedup.word_lists(line_dedup.lines(df.where("doc_id is not null"))).collect() if r.line or r.doc_id == 2}
+    wanted = spark.createDataFrame([(found[p].same, p) for p in asked], "want long, p struct<doc_id: long, line: int>")
+    expected = {r.same: set(r.tokens) for r in line_dedup.token_sets(line_dedup.word_lists(line_dedup.lines(df))).collect()}
+
+    def every_line(docs):
+        raise AssertionError("a row for each line")
+
+    monkeypatch.setattr(line_dedup, "lines", every_line)
+    for places in (line_dedup.PLACES, 0):
+        monkeypatch.setattr(line_dedup, "PLACES", places)
+        got = line_dedup._sets_of(df, wanted).collect()
+        # the repeated row gives its line again
+        assert sorted(r.same for r in got) == sorted([found[p].same for p in asked] + [found[p].same for p in asked[:2]])
+        assert all(set(r.tokens) == expected[r.same] for r in got)
+
+
 def test_line_dedup_edges(spark):
     rows = [*EDGE, (20, "a b c d e f\nkeep this one here now"), (21, "A b c d  e f\nother words stand in here")]
     out = line_dedup.dedup_lines(frame(spark, rows))
