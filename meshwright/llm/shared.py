@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.sources.store import folder, written
+from meshwright.sources.store import folder, released, written
 
 __all__ = ["components", "cut", "written"]
 
@@ -13,7 +13,8 @@ __all__ = ["components", "cut", "written"]
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the session's checkpoint folder and read from there."""
     folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned in here
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from meshwright.llm import ann, decontam, langid, license_scan, line_dedup, ngram_join, packing, pii, toxicity, url_filter
+from meshwright.llm import ann, decontam, langid, license_scan, line_dedup, ngram_join, packing, pii, shared, toxicity, url_filter
+from meshwright.sources import store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "one two"), (5, "one two"), (None, "null id words here and more"), (6, "w " * 50_000), (7, "é" * 3000 + " ü. @ +1 ((")]
@@ -344,3 +347,43 @@ def test_licenses_side_by_side(spark):
     for d in (50, 51, 53):
         assert got[d] == dict.fromkeys(labels, 1.0)
     assert got[52] == {"isc": 1.0, "apache-2.0": 1.0}
+
+
+def _files(spark):
+    """Names of the shuffle files that are there, and of the tables in the checkpoint folder."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [disk.apply(i).getName() for i in range(disk.size())]
+    tables = Path(store.folder(spark).removeprefix("file:")).iterdir()
+    return {n for n in names if n.startswith("shuffle_")}, {p.name for p in tables}
+
+
+def test_a_table_written_gives_up_its_shuffle(spark):
+    spark.conf.set(store._RELEASE, "false")
+    before = _files(spark)[0]
+    for made in (store.written, shared.cut, store.Scratch(spark).written):
+        assert made(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    spark.range(10).count()
+    end = time.time() + 20
+    while (left := {re.sub("^shuffle_([0-9]+).*", r"\1", n) for n in _files(spark)[0] - before}) and time.time() < end and len(left) > 4:
+        time.sleep(0.2)
+    assert len(left) <= 4  # the counts', which the library doesn't make
+    assert spark.conf.get(store._RELEASE) == "false"
+    spark.conf.unset(store._RELEASE)
+
+
+def test_line_dedup_deals_tokens_in_rounds_and_drops_its_tables(spark, docs, monkeypatch):
+    expected = {(r.doc_id, r.line) for r in line_dedup.removed_lines(docs).collect()}
+    made, rounds = line_dedup._shared, []
+
+    def seen(*given):
+        parts = made(*given)
+        rounds.extend({r.k for r in p.select(F.pmod("token", F.lit(4)).alias("k")).distinct().collect()} for p in parts)
+        return parts
+
+    monkeypatch.setattr(line_dedup, "_shared", seen)
+    monkeypatch.setattr(line_dedup, "ROUND", 1)
+    before = _files(spark)[1]
+    got = line_dedup.removed_lines(docs)
+    assert rounds == [{0}, {1}, {2}, {3}]
+    assert {n.split("-")[0] for n in _files(spark)[1] - before} == {"found", "decided"}
+    assert {(r.doc_id, r.line) for r in got.collect()} == expected and expected
