@@ -32,12 +32,16 @@ Two different sets or n-grams are taken for equal if their 64-bit hashes are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwright.sources.store import Scratch, written
+
 from . import text as tx
 from .shared import components, cut
 
@@ -47,6 +51,8 @@ FREQUENT, REPEATED = 100_000, 3
 FRAGMENTS = 8
 #: A task sums up repeated n-grams whenever it holds so many.
 HELD = 4_000_000
+#: Overlaps are counted in up to so many rounds of fragments, one for each ROUND pairs; a round's shuffle goes before the next.
+ROUNDS, ROUND = 4, 25_000
 #: Words whose hashes a Python worker keeps; it lives on through the later stages of a pipeline.
 WORDS = 100_000
 
@@ -253,13 +259,20 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, end
                         grams.append(part.view(np.int64))
             yield pa.record_batch([pa.array(nodes_, pa.int64()), pa.array(parts, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "part", "grams"])
 
-    fragments = texts.mapInArrow(run, "node long, part int, grams array<long>")
-    # a row that stands several times gives its fragments as often; each may count once
-    fragments = fragments.repartition("node").dropDuplicates(["node", "part"])
-    x = fragments.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
-    y = fragments.select(F.col("node").alias("b"), "part", F.col("grams").alias("gb"))
-    partial = pairs.join(x, "a").join(y, ["b", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
-    return partial.groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("overlap"))
+    scratch = Scratch(docs.sparkSession)
+    fragments = scratch.written(texts.mapInArrow(run, "node long, part int, grams array<long>"), "fragments")
+    rounds = max(1, min(ROUNDS, pairs.count() // ROUND))
+    partial = []
+    for k in range(rounds):
+        # a row that stands several times gives its fragments as often; each may count once
+        own = fragments.where(F.pmod("part", F.lit(rounds)) == k).repartition("node").dropDuplicates(["node", "part"])
+        x = own.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
+        y = own.select(F.col("node").alias("b"), "part", F.col("grams").alias("gb"))
+        met = pairs.join(x, "a").join(y, ["b", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
+        partial.append(scratch.written(met.groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k")), "partial"))
+    counted = written(reduce(DataFrame.unionByName, partial).groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("overlap")), "overlaps")
+    scratch.drop([fragments, *partial])
+    return counted
 
 
 def _linked(counted: DataFrame, percent: int) -> DataFrame:

@@ -387,3 +387,15 @@ def test_line_dedup_deals_tokens_in_rounds_and_drops_its_tables(spark, docs, mon
     assert rounds == [{0}, {1}, {2}, {3}]
     assert {n.split("-")[0] for n in _files(spark)[1] - before} == {"found", "decided"}
     assert {(r.doc_id, r.line) for r in got.collect()} == expected and expected
+
+
+def test_overlaps_are_counted_in_rounds_of_fragments(spark, docs, monkeypatch):
+    few = docs.where("doc_id < 100")
+    expected = {tuple(r) for r in ngram_join.near_duplicates(few).collect()}
+    monkeypatch.setattr(ngram_join, "ROUND", 1)
+    made = []
+    monkeypatch.setattr(ngram_join.Scratch, "written", lambda self, df, name="table", f=store.Scratch.written: made.append(name) or f(self, df, name))
+    before = _files(spark)[1]
+    assert {tuple(r) for r in ngram_join.near_duplicates(few).collect()} == expected
+    assert made.count("partial") > 2 and "fragments" in made
+    assert not any(n.startswith(("fragments", "partial")) for n in _files(spark)[1] - before)
