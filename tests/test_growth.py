@@ -115,3 +115,31 @@ def test_events_of_statements_are_counted_without_dealing_the_votes(spark):
     key = ["user_id", "object", "at"]
     want = [(1, o, 1) for o in ("the dogs is a pet", "{1} is a {2}|the dogs|pet", "IsA|dog|pet|", "IsA|dog|friend|")]
     assert {tuple(r) for r in again.where("user_id = 1").select(*key).collect()} == set(want)
+
+
+def test_a_bounded_search_finds_the_same_readings_from_fewer_spans(spark, monkeypatch):
+    class Ones(dict):
+        def get(self, *_):
+            return 1.0
+
+    p = extraction.Parser()
+    all_nodes = {x: [-1 - node for node in nodes] for x, nodes in p.begins.items()}
+    later = {x: [node for node in nodes if -1 - node < p.first_pattern] for x, nodes in all_nodes.items()}
+    pushed, push = [0], extraction.heapq.heappush
+    monkeypatch.setattr(extraction.heapq, "heappush", lambda *a: pushed.__setitem__(0, pushed[0] + 1) or push(*a))
+    rng, counts = np.random.default_rng(3), [0, 0]
+    words = "a dog is not used to the of red and , you can running sings birds to want in plam glorp when has".split()
+    said = spark.read.parquet(f"{SF}/conversations.parquet").where("text is not null").orderBy("conv_id", "turn").limit(60)
+    said = [s for r in said.collect() if 0 < len(extraction.tokenize(s := r.text.split(". ")[0])) <= 24]
+    odd = ["a dog is a kind of animal", "you can use a saw to cut wood", "when you sleep , you dream", ", ,", "the"]
+    odd += [" ".join(rng.choice(words, n)) for n in range(1, 20) for _ in range(3)]
+    for sentence in [*said, *odd]:
+        kinds = tuple(p.kind(w, i == 0) for i, w in enumerate(extraction.tokenize(sentence)))
+        ones = [1.0] * (len(kinds) + 1)
+        pushed[0] = 0
+        whole = p._above(kinds, 0.0, [Ones(), all_nodes, later], ones, ones)
+        counts[0] += pushed[0] * (sentence in said)
+        pushed[0] = 0
+        assert p._read(kinds) == whole, sentence
+        counts[1] += pushed[0] * (sentence in said)
+    assert len(said) > 20 and counts[1] < 0.8 * counts[0], counts
